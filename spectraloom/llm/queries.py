@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets
+from . import jaccard, mixing, packing, secrets
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_secrets": secrets.op2_secrets,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLES = {
     "op1_packing": packing.SQL,
     "op2_secrets": secrets.oracle(),
+    "op4_jaccard_join": jaccard.SQL,
     "op7_mixing": mixing.SQL,
 }
