@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, secrets
+from . import jaccard, media, mixing, order_minhash, packing, secrets, tokens
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_secrets": secrets.op2_secrets,
+    "op3_tokens": tokens.op3_tokens,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
+    "op8_order_minhash": order_minhash.op8_order_minhash,
+    "op9_media": media.op9_media,
 }
 
 ORACLES = {
