@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, mixing, order_minhash, packing, secrets, tokens
+from . import jaccard, lm, media, mixing, order_minhash, packing, secrets, tokens
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_order_minhash": order_minhash.op8_order_minhash,
     "op9_media": media.op9_media,
+    "op10_lm_scores": lm.op10_lm_scores,
 }
 
 ORACLES = {
