@@ -37,24 +37,29 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row of each word, folded bytes). Words are runs of bytes other than 9-13 and 32; fold lower-cases A-Z."""
-    n = len(data)
-    if fold and n:
-        data = np.where((data - np.uint8(65)) < 26, data | np.uint8(32), data)
-    text = ~((data == 32) | ((data - np.uint8(9)) < 5))
-    before = np.empty(n, bool)
-    if n:
-        before[0], before[1:] = False, text[:-1]
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of the runs of marked bytes; a run never crosses the end of a row."""
+    n = len(inside)
     inner = offsets[(offsets > 0) & (offsets < n)]
-    before[inner] = False
-    starts = np.flatnonzero(text & ~before)
-    after = np.empty(n, bool)
+    before, after = np.empty(n, bool), np.empty(n, bool)
     if n:
-        after[-1], after[:-1] = False, text[1:]
+        before[0], before[1:] = False, inside[:-1]
+        after[-1], after[:-1] = False, inside[1:]
+    before[inner] = False
     after[inner - 1] = False
-    ends = np.flatnonzero(text & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1, data
+    starts = np.flatnonzero(inside & ~before)
+    return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return np.where((data - np.uint8(65)) < 26, data | np.uint8(32), data) if len(data) else data
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row of each word, bytes in lower case). Words are runs of bytes other than 9-13 and 32."""
+    data = folded(data)
+    return *runs(~((data == 32) | ((data - np.uint8(9)) < 5)), offsets), data
 
 
 def word_hashes(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
