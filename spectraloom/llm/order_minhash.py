@@ -26,6 +26,8 @@ from .common import SPACE, documents
 BIN_BITS, HASH_BITS, PLACE_BITS = 6, 31, 26
 BINS = 1 << BIN_BITS
 EMPTY = "...."
+#: Repeated k-mers of a text that are counted one by one.
+FEW = 32
 #: Ranges of ids that are counted to cut the ids into pieces of even row counts.
 FINE = 65_536
 
@@ -44,47 +46,56 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = 3, select: in
     kmers = F.transform(F.slice(w, 1, last), lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)]))
     df = df.withColumn(t + "h", kmers)
     h = F.col(t + "h")
-    # Occurrence numbers: by sorted runs, and only where a k-mer occurs again.
-    df = df.withColumn(t + "o", F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    # Occurrence numbers: few repeats are counted one by one, many by sorted runs.
+    df = df.withColumn(t + "n", F.size(h) - F.size(F.array_distinct(h)))
+    few = F.col(t + "n") <= FEW
+    df = df.withColumn(t + "a", F.when((F.col(t + "n") > 0) & few, F.sort_array(h)))
+    a = F.col(t + "a")
+    df = df.withColumn(t + "d", F.when(a.isNotNull(), F.array_distinct(F.filter(a, lambda x, i: (i > 0) & (x == F.get(a, i - 1))))))
+    again = F.col(t + "d")
+    df = df.withColumn(t + "o", F.when(~few, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     o = F.col(t + "o")
     starts = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i)["h"] != F.get(o, i - 1)["h"]))
     df = df.withColumn(t + "r", F.when(o.isNotNull(), starts))
     r = F.col(t + "r")
     numbered = F.flatten(F.transform(r, lambda a, j: F.transform(F.slice(o, a + 1, F.coalesce(F.get(r, j + 1), F.size(o)) - a), lambda x, n: F.struct(F.xxhash64(x["h"], n).alias("h"), x["i"].alias("i")))))
     key = lambda x, i: F.shiftrightunsigned(x, 64 - BIN_BITS - HASH_BITS).bitwiseOR(_long(0)) * _long(1 << PLACE_BITS) + i
-    packed = F.when(o.isNull(), F.transform(h, lambda x, i: key(F.xxhash64(x, F.lit(0)), i))).otherwise(F.transform(numbered, lambda x: key(x["h"], x["i"])))
+    before = lambda x, i: F.when(F.array_contains(again, x), F.size(F.filter(F.slice(h, 1, i), lambda y: y == x))).otherwise(F.lit(0))
+    counted = F.transform(h, lambda x, i: key(F.xxhash64(x, before(x, i)), i))
+    plain = F.transform(h, lambda x, i: key(F.xxhash64(x, F.lit(0)), i))
+    packed = F.when(again.isNotNull(), counted).when(o.isNull(), plain).otherwise(F.transform(numbered, lambda x: key(x["h"], x["i"])))
     df = df.withColumn(t + "s", F.sort_array(packed))
     s = F.col(t + "s")
     bin_of = lambda x: F.shiftright(x, HASH_BITS + PLACE_BITS)
     least = F.filter(s, lambda x, i: (i < select) | (bin_of(F.get(s, i - select)) != bin_of(x)))
-    df = df.withColumn(t + "l", least)
-    s = F.col(t + "l")
-    heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (bin_of(F.get(s, i - 1)) != bin_of(x)), i)), lambda i: i.isNotNull())
     place = lambda x: x.bitwiseAND(_long((1 << PLACE_BITS) - 1))
-    kmer = lambda x: F.shiftright(x, PLACE_BITS)
-
-    def signature(i: Column) -> Column:
-        mine = F.filter(F.slice(s, i + 1, select), lambda x: bin_of(x) == bin_of(F.get(s, i)))
-        ordered = F.transform(F.array_sort(F.transform(mine, lambda x: F.struct(place(x).alias("p"), kmer(x).alias("k")))), lambda x: x["k"])
-        digits = F.lpad(F.lower(F.hex(F.xxhash64(ordered).bitwiseAND(_long(0xFFFF)))), 4, "0")
-        return F.struct(bin_of(F.get(s, i)).alias("b"), digits.alias("d"))
-
-    df = df.withColumn(t + "g", F.transform(heads, signature))
+    kmer = lambda x: F.shiftright(x, PLACE_BITS).bitwiseAND(_long((1 << HASH_BITS) - 1))
+    # what is selected, by bin and then place in the text
+    by_place = F.transform(least, lambda x: (bin_of(x) * _long(1 << PLACE_BITS) + place(x)) * _long(1 << HASH_BITS) + kmer(x))
+    df = df.withColumn(t + "l", F.sort_array(by_place))
+    s = F.col(t + "l")
+    tuple_of = lambda x, i: F.xxhash64(*[F.when(bin_of(F.get(s, i + j)) == bin_of(x), F.get(s, i + j).bitwiseAND(_long((1 << HASH_BITS) - 1))) for j in range(select)])
+    head = lambda x, i: (i == 0) | (bin_of(F.get(s, i - 1)) != bin_of(x))
+    # bin and 16 bits of the tuple's hash, of the first of each bin
+    heads = F.filter(F.transform(s, lambda x, i: F.when(head(x, i), bin_of(x) * _long(1 << 16) + tuple_of(x, i).bitwiseAND(_long(0xFFFF)))), lambda x: x.isNotNull())
+    df = df.withColumn(t + "g", heads)
     g = F.col(t + "g")
+    bin_at = lambda i: F.shiftright(F.get(g, i), 16)
     # Bins ascend, so the gap before each is known from the one before it.
     gap = lambda n: F.repeat(F.lit(EMPTY), n.cast("int"))
-    body = F.array_join(F.transform(g, lambda x, i: F.concat(gap(x["b"] - F.coalesce(F.get(g, i - 1)["b"], _long(-1)) - 1), x["d"])), "")
-    tail = gap(_long(BINS - 1) - F.coalesce(F.get(g, F.size(g) - 1)["b"], _long(-1)))
-    return df.select(*own, F.concat(body, tail).alias(name))
+    digits = lambda x: F.substring(F.hex(x.bitwiseAND(_long(0xFFFF)) + _long(1 << 16)), 2, 4)
+    body = F.array_join(F.transform(g, lambda x, i: F.concat(gap(F.shiftright(x, 16) - F.coalesce(bin_at(i - 1), _long(-1)) - 1), digits(x))), "")
+    tail = gap(_long(BINS - 1) - F.coalesce(bin_at(F.size(g) - 1), _long(-1)))
+    return df.select(*own, F.lower(F.concat(body, tail)).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal bins among those that are not empty in both."""
-    at = lambda x, i: F.substring(x, i * 4 + 1, F.lit(4))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.struct(at(a, i).alias("a"), at(b, i).alias("b")))
-    used = F.filter(pairs, lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY))
-    equal = F.filter(used, lambda p: p["a"] == p["b"])
-    return F.when(F.size(used) == 0, F.lit(1.0)).otherwise(F.size(equal) / F.size(used))
+    bins = lambda x: F.regexp_extract_all(x, F.lit(".{4}"), F.lit(0))
+    # 0: empty in both, 1: different, 2: equal
+    state = F.zip_with(bins(a), bins(b), lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, 2).otherwise(1))
+    used, equal = F.size(F.filter(state, lambda x: x > 0)), F.size(F.filter(state, lambda x: x == 2))
+    return F.when(used == 0, F.lit(1.0)).otherwise(equal / used)
 
 
 def with_next(df: DataFrame, order: str, columns: dict[str, str], ties: list[str], rows_per_piece: int = 2000) -> DataFrame:
