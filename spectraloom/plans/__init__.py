@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules that register queries.
-MODULES = ("tiers",)
+MODULES = ("tiers", "cleaning", "strings")
 
 
 def load():
