@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules that register queries.
-MODULES = ("tiers", "cleaning", "strings", "splitting")
+MODULES = ("tiers", "cleaning", "strings", "splitting", "analytics")
 
 
 def load():
