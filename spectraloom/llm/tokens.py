@@ -18,6 +18,7 @@ the same id follow each other; rows with a null id come first.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ END = 2
 #: Tokens of a coded block.
 BLOCK = 1 << 20
 #: Pieces that a worker remembers (about 200 bytes each).
-REMEMBER = 300_000
+REMEMBER = 700_000
+#: Bytes of text whose distinct words are encoded together.
+TOGETHER = 24 << 20
 #: Fixed value: how the tokenizer cuts a word.
 PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 PLAIN = "^[\x21-\x7e¡-ÿ]+$"
@@ -67,7 +70,7 @@ def _ragged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of distinct words, ragged."""
     tokenizer, known = _tokenizer(path)
-    whole = lambda texts: [np.array(e.ids, np.uint16).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    whole = lambda texts: [array("H", e.ids).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
     marked = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(plain, words, "")), PIECES, r"\1 ")
     parts = pc.ascii_split_whitespace(marked)
@@ -113,7 +116,7 @@ def token_table(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in pieces(batch.column("text")):
+            for row, data, offsets in pieces(batch.column("text"), TOGETHER):
                 n = len(offsets) - 1
                 ids, at = encode_texts(batch.column("text").slice(row, n), path, end)
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(ids)])
