@@ -41,7 +41,7 @@ def ranked(df: DataFrame, key: str, seed: int = 42, buckets: int = 256) -> DataF
 
 
 def assign_new(keys: DataFrame, history: DataFrame, key: str, ratios: tuple[tuple[str, float], ...] = (("train", 0.8), ("test", 0.1), ("valid", 0.1)), seed: int = 42) -> DataFrame:
-    """Splits of the new keys by deficit against targets over all keys of the batch; saturated splits get none, the last absorbs the rest; with all saturated, the first does.
+    """Splits of the new keys by deficit against targets over all keys of the batch; shares are rounded half to even; saturated splits get none, the last absorbs the rest; with all saturated, the first does.
 
     Deficits are a row; new keys are dealt out by their hash rank.
     """
@@ -51,13 +51,13 @@ def assign_new(keys: DataFrame, history: DataFrame, key: str, ratios: tuple[tupl
     new = keys.join(history, key, "left_anti")
     size = new.agg(F.count(F.lit(1)).alias("_new"))
     facts = total.crossJoin(known).crossJoin(size)
-    facts = facts.withColumns({f"_d_{s}": F.greatest(F.round(F.col("_total") * r).cast("long") - F.col(f"_k_{s}"), F.lit(0).cast("long")) for s, r in ratios})
+    facts = facts.withColumns({f"_d_{s}": F.greatest(F.bround(F.col("_total") * r).cast("long") - F.col(f"_k_{s}"), F.lit(0).cast("long")) for s, r in ratios})
     deficits = sum((F.col(f"_d_{s}") for s, _ in ratios), F.lit(0))
     facts = facts.withColumn("_deficit", deficits)
     end, choice = F.lit(0).cast("long"), F.lit(last)
     ends = []
     for s, _ in ratios[:-1]:
-        end = end + F.coalesce(F.round(F.try_divide(F.col("_new") * F.col(f"_d_{s}"), F.col("_deficit"))).cast("long"), F.lit(0).cast("long"))
+        end = end + F.coalesce(F.bround(F.try_divide(F.col("_new") * F.col(f"_d_{s}"), F.col("_deficit"))).cast("long"), F.lit(0).cast("long"))
         ends.append((s, end))
     for s, e in reversed(ends):
         choice = F.when(F.col("_rank") < e, F.lit(s)).otherwise(choice)

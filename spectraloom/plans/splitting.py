@@ -26,8 +26,8 @@ RANKED = f"(SELECT key, row_number() OVER (ORDER BY md5('42:' || key), key) - 1
 
 @register("i1_assign_new_keys", f"""WITH t AS (SELECT count(*) AS total FROM {KEYS}),
   k AS (SELECT count(*) FILTER (split = 'train') AS tr, count(*) FILTER (split = 'test') AS te, count(*) FILTER (split = 'valid') AS va FROM {HISTORY}),
-  f AS (SELECT greatest(round(total * 0.8) - tr, 0) AS d1, greatest(round(total * 0.1) - te, 0) AS d2, greatest(round(total * 0.1) - va, 0) AS d3, (SELECT count(*) FROM {RANKED}) AS n FROM t, k)
-  SELECT key, CASE WHEN d1 + d2 + d3 = 0 THEN 'train' WHEN r < round(n * d1 / (d1 + d2 + d3)) THEN 'train' WHEN r < round(n * d1 / (d1 + d2 + d3)) + round(n * d2 / (d1 + d2 + d3)) THEN 'test' ELSE 'valid' END AS split FROM {RANKED}, f""")
+  f AS (SELECT greatest(round_even(total * 0.8, 0) - tr, 0) AS d1, greatest(round_even(total * 0.1, 0) - te, 0) AS d2, greatest(round_even(total * 0.1, 0) - va, 0) AS d3, (SELECT count(*) FROM {RANKED}) AS n FROM t, k)
+  SELECT key, CASE WHEN d1 + d2 + d3 = 0 THEN 'train' WHEN r < round_even(n * d1 / (d1 + d2 + d3), 0) THEN 'train' WHEN r < round_even(n * d1 / (d1 + d2 + d3), 0) + round_even(n * d2 / (d1 + d2 + d3), 0) THEN 'test' ELSE 'valid' END AS split FROM {RANKED}, f""")
 def i1(spark, sf_dir):
     return S.assign_new(keys(spark, sf_dir), history(spark, sf_dir), "key")
 
