@@ -33,7 +33,7 @@ def hash60(*parts: Column | str) -> Column:
 
     md5-based, so that any SQL engine can repeat it.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")).cast("string") for p in parts])
+    text = F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 

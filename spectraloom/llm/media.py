@@ -24,6 +24,8 @@ from .common import documents, materialize
 
 #: Bytes of a row of a stored image: 64 pixels of three samples.
 ROW = 192
+#: Texts that are held as images at once.
+ROWS = 512
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
@@ -179,7 +181,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             sizes, media, tiles = [], [], []
             for text in batch.column("text"):
                 n, payload = padded(text.as_py())
@@ -198,7 +200,7 @@ def media_features(stored: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             rows = []
             for media, tile in zip(batch.column("media"), batch.column("tile")):
                 image = media.as_py()

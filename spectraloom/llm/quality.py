@@ -228,7 +228,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> list:
     some = ids.filter("quality IS NOT NULL OR toxic IS NOT NULL").orderBy("h", "doc_id").limit(LABELLED)
     pool = ids.filter("quality IS NULL AND toxic IS NULL").orderBy("h", "doc_id").limit(POOL)
     chosen = materialize(some.unionByName(pool), "quality-sample")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "quality", "toxic")
+    rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "quality", "toxic")
     schema = "doc_id string, source string, lang string, quality int, toxic int, hashes array<bigint>, layout array<double>"
 
     def run(batches):

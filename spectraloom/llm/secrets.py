@@ -154,15 +154,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """docs with each secret replaced by mark: rule after rule, so that a span of two kinds is replaced once. A null text stays null."""
     own = docs.columns
-    df = with_candidates(docs, rules, text_col)
+    # the other columns travel as one, so that their names can't clash
+    df = with_candidates(docs.select(F.struct(*own).alias("_row"), F.col(text_col).alias("_text")), rules, "_text")
     for i, rule in enumerate(rules):
-        df = _pieces(df, rule, i, F.col(text_col))
-
+        df = _pieces(df, rule, i, F.col("_text"))
         pieces, values, least = F.col(f"_p{i}"), F.col(f"_v{i}"), rule.least
         put = lambda m, k: F.concat(F.get(pieces, k), F.when(F.char_length(F.get(values, k)) >= least, F.lit(mark)).otherwise(m))  # noqa: B023, E731
         done = F.concat(F.array_join(F.transform(F.col(f"_m{i}"), put), ""), F.element_at(pieces, -1))
-        df = df.withColumn(text_col, F.when(pieces.isNotNull(), done).otherwise(F.col(text_col)))
-    return df.select(*own)
+        df = df.withColumn("_text", F.when(pieces.isNotNull(), done).otherwise(F.col("_text")))
+    return df.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in own])
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
