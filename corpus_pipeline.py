@@ -53,8 +53,10 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mixture says: 0 to 3 times."""
     taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).select(docs["*"], "_copies")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row"))
+    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["doc_id"]))
+    repeated = rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    return repeated.select("_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
