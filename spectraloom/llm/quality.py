@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from . import words as W
 from .common import documents, hash60, materialize
 
-LABELLED = 8_000
-POOL = 4_000
+LABELLED = 6_000
+POOL = 3_000
 FEATURES = 3_000
 ROUNDS = 3
 #: Rows that a view labels for the other in a round, by class as in the sample.
@@ -220,7 +220,7 @@ class Model:
         return np.hstack([x, named])
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> list:
+def _sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
     """Labelled rows and pool rows with their features."""
     marked = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).join(marked, "doc_id", "left")
@@ -247,18 +247,22 @@ def _sample(docs: DataFrame, labels: DataFrame) -> list:
                     pa.array(lists, pa.list_(pa.int64())), pa.array(layout_features(data, offsets).tolist(), pa.list_(pa.float64())),
                 ], names=["doc_id", "source", "lang", "quality", "toxic", "hashes", "layout"])
 
-    return rows.mapInArrow(run, schema).orderBy("doc_id").toArrow().to_pylist()
+    return rows.mapInArrow(run, schema).orderBy("doc_id").toArrow().combine_chunks()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns both heads from the sample."""
     rows = _sample(docs, labels)
-    n = len(rows)
-    good = np.array([-1 if r["quality"] is None else 1 - min(1, max(0, r["quality"])) for r in rows], float)
-    toxic = np.array([-1 if r["toxic"] is None else min(1, max(0, r["toxic"])) for r in rows], float)
-    hashes = np.concatenate([np.array(r["hashes"], np.int64) for r in rows]).view(np.uint64) if n else np.empty(0, np.uint64)
-    of = np.repeat(np.arange(n), [len(r["hashes"]) for r in rows])
-    layout = np.array([r["layout"] for r in rows]) if n else np.zeros((0, 13))
+    n = rows.num_rows
+    column = lambda c: rows[c].combine_chunks() if n else pa.array([], rows.schema.field(c).type)
+    mark = lambda c: np.clip(column(c).fill_null(-1).to_numpy(zero_copy_only=False), -1, 1).astype(float)
+    good, toxic = mark("quality"), mark("toxic")
+    good = np.where(good < 0, -1, 1 - good)
+    lists = column("hashes")
+    hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    of = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())) if n else np.empty(0, int)
+    layout = column("layout").flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 13))
+    source, lang = column("source").to_pylist(), column("lang").to_pylist()
     names, inverse = np.unique(hashes, return_inverse=True)
     strength = np.zeros(len(names))
     for y in (good, toxic):
@@ -270,10 +274,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         strength = np.maximum(strength, np.where(p + q >= 4, z, 0))
     keep = np.sort(np.lexsort((names, -strength))[:FEATURES])
     keep = keep[strength[keep] > 0]
-    top = lambda key: {v: i for i, v in enumerate(sorted({r[key] for r in rows if r[key] is not None})[:500])}
-    model = Model(names[keep], top("source"), top("lang"), layout.mean(axis=0) if n else np.zeros(13), np.maximum(layout.std(axis=0), 1e-6) if n else np.ones(13), {})
+    top = lambda values: {v: i for i, v in enumerate(sorted({x for x in values if x is not None})[:500])}
+    model = Model(names[keep], top(source), top(lang), layout.mean(axis=0) if n else np.zeros(13), np.maximum(layout.std(axis=0), 1e-6) if n else np.ones(13), {})
     text = model.text(hashes, of, n)
-    meta = model.meta(layout, [r["source"] for r in rows], [r["lang"] for r in rows])
+    meta = model.meta(layout, source, lang)
     model.heads = {"score": co_train(text, meta, good), "toxic": co_train(text, meta, toxic)}
     return model
 
