@@ -67,3 +67,11 @@ def load_names():
     from spectraloom.plans import load
 
     return load().QUERIES
+
+
+def test_greedy_match_takes_cheapest_first(spark):
+    from spectraloom.operators.fragments import greedy_match
+
+    pairs = spark.createDataFrame([(1, "a", "x", 0.2), (1, "a", "y", 0.1), (1, "b", "y", 0.15), (1, "b", "x", 0.3), (2, "a", "x", 0.0)], "s int, l string, r string, c double")
+    got = sorted((r.s, r.l, r.r) for r in greedy_match(pairs, ["s"], "l", "r", "c").collect())
+    assert got == [(1, "a", "y"), (1, "b", "x"), (2, "a", "x")]
