@@ -38,6 +38,8 @@ U = np.uint64
 BROADCAST_KEYS = 2_000_000
 #: Members of a group that are compared at once; larger groups are cut into blocks.
 BLOCK = 2048
+#: Rows of groups with one leader that are compared in one task.
+TOGETHER = 100_000
 #: Rows after which a group of equal signatures is passed on in parts.
 RUN = 1 << 16
 
@@ -234,14 +236,19 @@ def _group_runs(batches):
         yield found
 
 
-def _open_pairs(percent: int):
-    """Rows (gkey, block, node, component, n_shingles, bitmap) sorted by gkey and block -> pairs in different components that may be similar."""
+def _open_pairs(percent: int, nearest: bool):
+    """Rows (gkey, block, node, component, n_shingles, bitmap) sorted by gkey and block -> pairs in different components that may be similar.
+
+    nearest: only between the largest component of a group and each other one, the pair whose bitmaps differ least.
+    """
 
     def compare(node, comp, size, bitmap, side):
         order = np.argsort(size, kind="stable")
         node, comp, size, side = node[order], comp[order], size[order], side[order]
         bitmap = [bitmap[o] for o in order]
-        a_out, b_out = [], []
+        a_out, b_out, near = [], [], {}
+        ids, many = np.unique(comp, return_counts=True)
+        centre = comp == ids[many.argmax()]
         for width in np.unique([bits_of(int(s)) for s in size]):
             # sets of the band, and those of the one below by folding the larger ones down
             low = np.flatnonzero(np.array([bits_of(int(s)) for s in size]) == width)
@@ -252,22 +259,35 @@ def _open_pairs(percent: int):
                 may = (up > r) & (comp[up] != comp[r]) & (100 * size[r] >= percent * size[up])
                 if side[r] >= 0:
                     may &= side[up] != side[r]
+                if nearest and not centre[r]:
+                    may &= centre[up]
                 c = np.flatnonzero(may)
                 if len(c):
                     differ = np.bitwise_count(maps_up[c] ^ maps_low[j]).sum(axis=1)
-                    c = c[differ <= _difference(size[up[c]], size[r], percent)]
+                    close = differ <= _difference(size[up[c]], size[r], percent)
+                    c, differ = c[close], differ[close]
+                    if nearest:
+                        for x, d in zip(up[c].tolist(), differ.tolist()):
+                            key = comp[x] if centre[r] else comp[r]
+                            if key not in near or d < near[key][0]:
+                                near[key] = (d, node[r], node[x])
+                        continue
                     a_out.append(np.full(len(c), node[r]))
                     b_out.append(node[up[c]])
+        if near:
+            return tuple(np.array([x[i] for x in near.values()]) for i in (1, 2))
         return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.empty(0, np.int64),) * 2
 
     def run(batches):
         held: dict = {}
+        told: set[tuple[int, int]] = set()
 
         def flush():
             if len(held.get("node", ())) > 1:
                 a, b = compare(*(np.array(held[c]) for c in ("node", "component", "n_shingles")), held["bitmap"], np.array(held["side"]))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if not (p in told or told.add(p))]
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new)], names=["a", "b"])
 
         for batch in batches:
             rows = batch.to_pydict()
@@ -307,6 +327,13 @@ def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
+def _sets_of(pairs: DataFrame, seen: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Written (node, shingles) of the nodes in pairs, from the first document that has each."""
+    members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    owners = seen.filter("n_shingles > 0").join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return materialize(node_sets(docs, materialize(owners.select("doc_id", "node"), "set-owners"), n), "sets")
+
+
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
     right = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
@@ -315,6 +342,44 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.filter(100 * same >= percent * (F.size("_a") + F.size("_b") - same)).select("a", "b").distinct()
 
 
+def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and bitmaps leave the similarity possible."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            for r in np.flatnonzero(keep):
+                bits = min(bits_of(int(na[r])), bits_of(int(nb[r])))
+                differ = np.bitwise_count(fold(batch.column("ma")[r].as_py(), bits) ^ fold(batch.column("mb")[r].as_py(), bits)).sum()
+                keep[r] = differ <= _difference(int(na[r]), int(nb[r]), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("n_shingles").alias("n" + side), F.col("bitmap").alias("m" + side)), side)
+    return pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _unsettled(groups: DataFrame, comps: DataFrame, facts: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Possible pairs (a, b) in groups whose members lie in several components. Groups of more than BLOCK members are dealt out by pairs of blocks."""
+    placed = groups.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_groups = placed.groupBy("gkey").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count(F.lit(1)).alias("_c"), F.min("leader").alias("_f")).filter("_l != _h")
+    # groups with one leader have many members in common: they go together, up to TOGETHER rows, so that a pair is met in few tasks
+    family = open_groups.groupBy("_f").agg(F.ceil(F.sum("_c") / TOGETHER).alias("_t"))
+    open_groups = open_groups.join(family, "_f").withColumn("_t", F.pmod("gkey", "_t"))
+    blocks = F.ceil(F.col("_c") / BLOCK).cast("int")
+    dealt = (
+        placed.drop("leader").join(open_groups, "gkey").withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        .withColumn("block", F.least("_i", "_j") * F.col("_k") + F.greatest("_i", "_j"))
+        # in a block of pairs of two blocks, only rows of different sides are compared
+        .withColumn("side", F.when(F.pmod("block", F.col("_k")) == F.floor(F.col("block") / F.col("_k")), F.lit(-1)).otherwise(F.col("_i")))
+        .join(facts, "node")
+        .select("_f", "_t", "gkey", "block", "node", "component", "n_shingles", "bitmap", "side")
+    )
+    return dealt.repartition("_f", "_t", "block").sortWithinPartitions("gkey", "block").drop("_f", "_t").mapInArrow(_open_pairs(percent, nearest), "a bigint, b bigint").distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id that links reach)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -323,31 +388,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_group_runs, "gkey bigint, leader bigint, node bigint, size bigint")
     groups = materialize(grouped.dropDuplicates(["gkey", "node"]), "signature-groups")
     members = groups.select("node").distinct()
-    least = seen.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(least.join(members, "node", "left_semi").select("doc_id", "node"), "set-owners")
-    sets = materialize(node_sets(docs, wanted, n), "sets")
-    stars = groups.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    edges = materialize(links(stars, sets, percent), "links")
-    comps = materialize(connected_components(edges), "first-components")
-    placed = groups.filter("size > 2").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    unsettled = placed.groupBy("gkey").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.max("size").alias("_n"), F.count(F.lit(1)).alias("_c")).filter("_l != _h")
-    facts = seen.filter("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
-    split = F.ceil(F.col("_c") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), split).cast("int")
-    dealt = (
-        placed.join(unsettled, "gkey").withColumn("_k", split).withColumn("_i", mine)
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        .withColumn("block", F.least("_i", "_j") * F.col("_k") + F.greatest("_i", "_j"))
-        .withColumn("side", F.when((F.pmod("block", F.col("_k")) == F.floor(F.col("block") / F.col("_k"))), F.lit(-1)).otherwise(F.col("_i")))
-        .join(facts, "node")
-        .select("gkey", "block", "node", "component", "n_shingles", "bitmap", "side")
-    )
-    rest = dealt.repartition("gkey", "block").sortWithinPartitions("gkey", "block").mapInArrow(_open_pairs(percent), "a bigint, b bigint").distinct()
-    more = materialize(links(rest, sets, percent), "links")
-    if more.isEmpty():
-        whole = comps
-    else:
-        whole = materialize(connected_components(edges.unionByName(more)), "components")
+    facts = seen.filter("n_shingles > 0").join(members, "node", "left_semi").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
+    facts = materialize(facts, "set-facts")
+    # each member with the hub of groups with which it shares most: an original has more in common with its copies than they with each other
+    weight = groups.groupBy("node").agg(F.sum("size").alias("_w"))
+    hubs = groups.join(weight, "node").groupBy("gkey").agg(F.max_by("node", F.struct("_w", "node")).alias("leader"))
+    shared = groups.select("gkey", "node").join(hubs, "gkey").filter("node != leader").groupBy("leader", "node").agg(F.count(F.lit(1)).alias("_n"))
+    stars = shared.groupBy("node").agg(F.max_by("leader", F.struct("_n", "leader")).alias("leader"))
+    tried = materialize(_possible(stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), facts, percent), "pairs")
+    edges = materialize(links(tried, _sets_of(tried, seen, docs, n), percent), "links")
+    whole = materialize(connected_components(edges), "components")
+    for nearest in (True, True, False):
+        rest = _unsettled(groups, whole, facts, percent, nearest).join(tried, ["a", "b"], "left_anti")
+        rest = materialize(rest, "pairs")
+        if rest.isEmpty():
+            continue
+        tried = tried.unionByName(rest)
+        more = materialize(links(rest, _sets_of(rest, seen, docs, n), percent), "links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            whole = materialize(connected_components(edges), "components")
     placed = seen.select("doc_id", "n_shingles", "node").join(whole, "node", "left").withColumn("_c", F.coalesce("component", "node"))
     placed = placed.withColumn("_c", F.when(F.col("n_shingles") > 0, F.col("_c")))
     first = placed.filter("_c IS NOT NULL").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
