@@ -29,7 +29,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +41,10 @@ FOLDS, HELD = 5, 1
 MU = 32.0
 #: Words of a slice of the vocabulary: 12 bytes each in a task.
 SLICE = 4_000_000
-#: Pairs of a shard, about: 40 bytes each in a task.
-SHARD = 4_000_000
+#: Words that the driver takes at once.
+FETCH = 250_000
+#: Pairs of a shard, about: 100 bytes each in a task.
+SHARD = 2_000_000
 END = U(0xE17B5EC0A9D3F241)
 START = U(0x51C6D3A7F0E2B98D)
 
@@ -121,7 +122,6 @@ def pair_rows(docs: DataFrame, vocabulary, slice_no: int, slices: int, total: in
         raw = vocabulary.value
         n = len(raw) // 12
         known, count = np.frombuffer(raw, U, n), np.frombuffer(raw, np.uint32, n, 8 * n)
-        part, row_no = TaskContext.get().partitionId(), 0
         empty = pa.nulls
         for batch in batches:
             names = batch.column("doc_id")
@@ -141,8 +141,7 @@ def pair_rows(docs: DataFrame, vocabulary, slice_no: int, slices: int, total: in
                 each = np.where(mine, log_p, 0.0)[inverse]
                 terms = (np.where(mine, context, 0.0) + unseen)[inverse]
                 sums = lambda x: np.bincount(of, x, rows)
-                uid = (part << 36) + row_no + np.arange(rows, dtype=np.int64)
-                row_no += rows
+                uid = batch.column("uid").slice(row, rows).to_numpy()
                 term = sums(terms)
                 if slice_no == 0:
                     term = term - np.log10(starts + MU)
@@ -175,7 +174,8 @@ def pair_rows(docs: DataFrame, vocabulary, slice_no: int, slices: int, total: in
     columns = [f.split()[0] for f in FIELDS.format(kind="x").split(", ")]
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     types = [pa.int32(), pa.binary(), pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return docs.select("doc_id", "text").mapInArrow(run, FIELDS.format(kind=kind))
+    # numbers by partition of the scan: each slice gives a document the same one
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")).mapInArrow(run, FIELDS.format(kind=kind))
 
 
 def score_shard(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +200,7 @@ def score_shard(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     finally:
         os.unlink(path)
     value = np.where(found == -32768, low, found / STEPS)
+    del code, ordered, distinct, low, in_train, found
     each = np.empty(len(keys))
     each[order] = np.repeat(value, np.diff(np.append(first, len(keys))))
     at = np.cumsum(count) - count
@@ -239,6 +240,20 @@ def _score_shards(kind: str):
     return run, f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, terms double"
 
 
+def _slice_bytes(counts: DataFrame, i: int, slices: int, distinct: int) -> bytes:
+    """Ascending words of a slice and their counts, fetched FETCH words at a time."""
+    steps = max(1, -(-distinct // slices // FETCH))
+    key = F.shiftrightunsigned("word", 7)
+    words, n = [], []
+    for k in range(steps):
+        part = counts.filter((F.pmod(key, F.lit(slices)) == i) & (F.pmod(F.floor(key / slices), F.lit(steps)) == k)).toArrow()
+        words.append(part["word"].to_numpy().view(U))
+        n.append(np.minimum(part["n"].to_numpy(), 2**32 - 1).astype(np.uint32))
+    words, n = np.concatenate(words), np.concatenate(n)
+    order = np.argsort(words)
+    return words[order].tobytes() + n[order].tobytes()
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -251,14 +266,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shards = max(1, -(-int(total * 1.25) // SHARD))
     passes = None
     for i in range(slices):
-        mine = counts.filter(F.pmod(F.shiftrightunsigned("word", 7), F.lit(slices)) == i).toPandas()
-        known, n = mine["word"].to_numpy(np.int64).view(U), np.minimum(mine["n"].to_numpy(np.int64), 2**32 - 1)
-        order = np.argsort(known)
-        vocabulary = spark.sparkContext.broadcast(known[order].tobytes() + n[order].astype(np.uint32).tobytes())
+        vocabulary = spark.sparkContext.broadcast(_slice_bytes(counts, i, slices, distinct))
         rows = pair_rows(docs, vocabulary, i, slices, total, distinct, starts, shards)
         passes = rows if passes is None else passes.unionByName(rows)
     run, fields = _score_shards(docs.schema["doc_id"].dataType.simpleString())
-    # uids are by partition of the scan, so each slice numbers documents alike
     parts = passes.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, fields)
     whole = parts.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.bool_or("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
