@@ -249,10 +249,11 @@ def _open_pairs(percent: int, nearest: bool):
         a_out, b_out, near = [], [], {}
         ids, many = np.unique(comp, return_counts=True)
         centre = comp == ids[many.argmax()]
-        for width in np.unique([bits_of(int(s)) for s in size]):
-            # sets of the band, and those of the one below by folding the larger ones down
-            low = np.flatnonzero(np.array([bits_of(int(s)) for s in size]) == width)
-            up = np.flatnonzero(np.isin([bits_of(int(s)) for s in size], [width, 2 * width]))
+        bits = np.maximum(64, 4 << (np.frexp(size.astype(np.float64))[1].astype(np.int64) - 1))
+        for width in np.unique(bits):
+            # sets of the band, and those of the next by folding them down
+            low = np.flatnonzero(bits == width)
+            up = np.flatnonzero((bits == width) | (bits == 2 * width))
             maps_low = np.stack([np.frombuffer(bitmap[r], np.uint64) for r in low])
             maps_up = np.stack([fold(bitmap[r], int(width)) for r in up])
             for j, r in enumerate(low):
@@ -279,25 +280,30 @@ def _open_pairs(percent: int, nearest: bool):
         return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.empty(0, np.int64),) * 2
 
     def run(batches):
-        held: dict = {}
+        now, held = None, []
         told: set[tuple[int, int]] = set()
 
         def flush():
-            if len(held.get("node", ())) > 1:
-                a, b = compare(*(np.array(held[c]) for c in ("node", "component", "n_shingles")), held["bitmap"], np.array(held["side"]))
+            node, comp, size, side = (np.concatenate(x) for x in zip(*[h[:4] for h in held]))
+            if len(node) > 1 and (comp != comp[0]).any():
+                a, b = compare(node, comp, size, [m for h in held for m in h[4].to_pylist()], side)
                 new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if not (p in told or told.add(p))]
                 if new:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new)], names=["a", "b"])
 
         for batch in batches:
-            rows = batch.to_pydict()
-            for i, key in enumerate(zip(rows["gkey"], rows["block"])):
-                if held.get("key") != key:
-                    yield from flush()
-                    held = {"key": key, "node": [], "component": [], "n_shingles": [], "bitmap": [], "side": []}
-                for c in ("node", "component", "n_shingles", "bitmap", "side"):
-                    held[c].append(rows[c][i])
-        yield from flush()
+            gkey, block, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gkey", "block", "node", "component", "n_shingles", "side"))
+            cut = [0, *(np.flatnonzero((gkey[1:] != gkey[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(gkey)]
+            for i, j in zip(cut, cut[1:]):
+                if i == j:
+                    continue
+                if now != (gkey[i], block[i]):
+                    if held:
+                        yield from flush()
+                    now, held = (gkey[i], block[i]), []
+                held.append((*(x[i:j] for x in rest), batch.column("bitmap").slice(i, j - i)))
+        if held:
+            yield from flush()
 
     return run
 
@@ -398,7 +404,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tried = materialize(_possible(stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), facts, percent), "pairs")
     edges = materialize(links(tried, _sets_of(tried, seen, docs, n), percent), "links")
     whole = materialize(connected_components(edges), "components")
-    for nearest in (True, True, False):
+    for nearest in (True, False):
         rest = _unsettled(groups, whole, facts, percent, nearest).join(tried, ["a", "b"], "left_anti")
         rest = materialize(rest, "pairs")
         if rest.isEmpty():
