@@ -45,6 +45,8 @@ SLICE = 4_000_000
 FETCH = 250_000
 #: Pairs of a shard, about: 100 bytes each in a task.
 SHARD = 2_000_000
+#: Shards at least: a document sends a partial sum for each shard that it has pairs in.
+SHARDS = 64
 END = U(0xE17B5EC0A9D3F241)
 START = U(0x51C6D3A7F0E2B98D)
 
@@ -263,7 +265,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total, distinct, starts = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == end, F.col("n")))).first())
     slices = max(1, -(-distinct // SLICE))
     # held-out text is about 1 / (FOLDS - 1) of the training text
-    shards = max(1, -(-int(total * 1.25) // SHARD))
+    shards = max(SHARDS, -(-int(total * 1.25) // SHARD))
     passes = None
     for i in range(slices):
         vocabulary = spark.sparkContext.broadcast(_slice_bytes(counts, i, slices, distinct))
