@@ -2,17 +2,20 @@
 
 The text view sees which letter runs and sign runs a text has; the metadata view
 sees source, language, length and layout. Both learn from a bounded sample of
-labelled rows. In each round, each view labels the rows of a bounded unlabelled
-pool that it is surest of, and the other view learns from them. At last both are
-calibrated on labelled rows that neither learned from, and their log-odds are
+labelled rows. In each round, each view scores all rows without a label on the
+executors, and the other view learns from those that it is surest of. At last both
+are calibrated on labelled rows that neither learned from, and their log-odds are
 combined. One head tells bad quality, one toxic text; a document is kept if both
 stay under their threshold. All documents are scored, whole, in one pass.
 
-Bounds of what the driver sees: LABELLED labelled and POOL unlabelled rows, chosen
-by the hash of their id; FEATURES weights a view. Defined results: null text is
-the empty one; a head without two classes in its sample scores everything 0.0;
-without labels all is kept; columns of the input pass through, and added ones get
-the names score, toxic and keep, with as many "_" before as a clash needs.
+Bounds of what the driver sees: LABELLED labelled rows, chosen by the hash of their
+id; FEATURES letter and sign runs; a histogram of SURE_STEPS buckets a unit of
+log-odds, and EXCHANGE rows, for each head and view in a round. Every source and
+language among these rows has an indicator. Defined results: null text is the empty
+one; a null id is a row without a label; rows of equal id and text are one row to
+learn from; a head without two classes in its sample scores everything 0.0; without
+labels all is kept; columns of the input pass through, and added ones get the names
+score, toxic and keep, with as many "_" before as a clash needs.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ from pyspark.sql import types as T
 from . import words as W
 from .common import documents, hash60, materialize
 
-LABELLED = 6_000
-POOL = 3_000
+LABELLED = 8_000
 FEATURES = 3_000
 ROUNDS = 3
 #: Rows that a view labels for the other in a round, by class as in the sample.
 EXCHANGE = 400
+#: Columns of layout_features().
+LAYOUT = 13
 SURE = 0.95
+#: Buckets by which the executors count how sure a view is: a unit of log-odds, and all of them.
+SURE_STEPS, SURE_BUCKETS = 64, 4096
 CALIBRATION = 0.25
 THRESHOLD = 0.5
 
@@ -103,19 +109,35 @@ class Sparse:
         return Sparse(new[self.rows[keep]], self.cols[keep], (len(idx), self.shape[1]))
 
 
+class Mixed:
+    """Dense columns, then marked ones."""
+
+    def __init__(self, dense: np.ndarray, marks: Sparse):
+        self.dense, self.marks, self.shape = dense, marks, (len(dense), dense.shape[1] + marks.shape[1])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        k = self.dense.shape[1]
+        return self.dense.dot(w[:k]) + self.marks.dot(w[k:])
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.dense.T.dot(g), self.marks.back(g)])
+
+    def take(self, idx: np.ndarray) -> Mixed:
+        return Mixed(self.dense[idx], self.marks.take(idx))
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit(x, y: np.ndarray, rate: float = 0.05, steps: int = 200, shrink: float = 1e-4) -> Linear:
     """Logistic regression with balanced classes, by Adam over all rows."""
-    back = x.back if isinstance(x, Sparse) else x.T.dot
     w, b = np.zeros(x.shape[1]), 0.0
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         g = (_sigmoid(x.dot(w) + b) - y) * weight
-        grad = np.append(back(g) + shrink * w, g.sum())
+        grad = np.append(x.back(g) + shrink * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -136,6 +158,9 @@ def calibrate(model: Linear, x, y: np.ndarray) -> Linear:
     return model
 
 
+VIEWS = {"text": "meta", "meta": "text"}  # each with the one that it labels for
+
+
 @dataclass
 class Head:
     text: Linear
@@ -147,37 +172,33 @@ class Head:
         return _sigmoid(a * self.text.odds(text) + b * self.meta.odds(meta) + c)
 
 
-def co_train(text: Sparse, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Head | None:
-    """y: 1 or 0, -1 for rows of the pool. None without both classes."""
-    own = np.flatnonzero(y >= 0)
-    if len(own) < 20 or not 0 < y[own].mean() < 1:
-        return None
-    hold = own[np.arange(len(own)) % round(1 / CALIBRATION) == 0]
-    train = np.setdiff1d(own, hold)
-    if not 0 < y[train].mean() < 1 or not 0 < y[hold].mean() < 1:
-        return None
-    pool = np.flatnonzero(y < 0)
-    rate = y[train].mean()
-    known = {name: dict(zip(train.tolist(), y[train].tolist())) for name in ("text", "meta")}
-    views = {"text": text.take, "meta": lambda i: meta[i]}
-    models = {}
-    for step in range(rounds + 1):
-        for name, view in views.items():
-            rows = np.array(sorted(known[name]))
-            models[name] = calibrate(fit(view(rows), np.array([known[name][r] for r in rows.tolist()])), view(hold), y[hold])
-        if step == rounds or not len(pool):
-            break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            free = np.array([r for r in pool.tolist() if r not in known[other]])
-            if not len(free):
-                continue
-            p = _sigmoid(models[name].odds(views[name](free)))
-            for label, sure, most in ((1, p, rate), (0, 1 - p, 1 - rate)):
-                best = np.argsort(-sure, kind="stable")[: max(1, round(EXCHANGE * most))]
-                known[other].update({int(free[i]): label for i in best if sure[i] >= SURE})
-    odds = np.column_stack([models[n].odds(v(hold)) for n, v in views.items()])
-    both = calibrate_mix(odds, y[hold])
-    return Head(models["text"], models["meta"], both)
+class Pupil:
+    """A head while it learns: the rows that each view knows, with their class."""
+
+    def __init__(self, y: np.ndarray):
+        """y: 1 or 0 by row, -1 without a label. able: whether both classes are there to learn from and to calibrate on."""
+        own = np.flatnonzero(y >= 0)
+        self.y, self.hold = y, own[np.arange(len(own)) % round(1 / CALIBRATION) == 0]
+        train = np.setdiff1d(own, self.hold)
+        self.able = len(own) >= 20 and all(0 < y[rows].mean() < 1 for rows in (train, self.hold))
+        self.rate = y[train].mean() if self.able else 0.0
+        self.known = {name: dict(zip(train.tolist(), y[train].tolist())) for name in VIEWS}
+
+    def learn(self, views: dict) -> dict[str, Linear]:
+        out = {}
+        for name, x in views.items():
+            rows = np.array(sorted(self.known[name]))
+            out[name] = calibrate(fit(x.take(rows), np.array([self.known[name][r] for r in rows.tolist()])), x.take(self.hold), self.y[self.hold])
+        return out
+
+    def head(self, views: dict) -> Head:
+        models = self.learn(views)
+        odds = np.column_stack([models[name].odds(x.take(self.hold)) for name, x in views.items()])
+        return Head(models["text"], models["meta"], calibrate_mix(odds, self.y[self.hold]))
+
+    def most(self, label: int) -> int:
+        """Rows of a class that a view labels in a round."""
+        return max(1, round(EXCHANGE * (self.rate if label else 1 - self.rate)))
 
 
 def calibrate_mix(odds: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -202,84 +223,202 @@ class Model:
     heads: dict[str, Head | None]
 
     def text(self, hashes: np.ndarray, rows: np.ndarray, n: int) -> Sparse:
-        if not len(self.hashes):
-            return Sparse(np.empty(0, int), np.empty(0, int), (n, 0))
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
-        cell = np.unique(rows[hit].astype(np.int64) * len(self.hashes) + at[hit])
-        return Sparse(cell // len(self.hashes), cell % len(self.hashes), (n, len(self.hashes)))
-
-    def meta(self, layout: np.ndarray, source: list, lang: list) -> np.ndarray:
-        x = (layout - self.centre) / self.scale
-        named = np.zeros((len(x), len(self.sources) + len(self.langs)))
-        for r, (s, l) in enumerate(zip(source, lang)):
-            if s in self.sources:
-                named[r, self.sources[s]] = 1
-            if l in self.langs:
-                named[r, len(self.sources) + self.langs[l]] = 1
-        return np.hstack([x, named])
-
-
-def _sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
-    """Labelled rows and pool rows with their features."""
-    marked = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).join(marked, "doc_id", "left")
-    ids = ids.select("doc_id", "quality", "toxic", hash60(F.lit("quality"), F.col("doc_id")).alias("h"))
-    some = ids.filter("quality IS NOT NULL OR toxic IS NOT NULL").orderBy("h", "doc_id").limit(LABELLED)
-    pool = ids.filter("quality IS NULL AND toxic IS NULL").orderBy("h", "doc_id").limit(POOL)
-    chosen = materialize(some.unionByName(pool), "quality-sample")
-    rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "quality", "toxic")
-    schema = "doc_id string, source string, lang string, quality int, toxic int, hashes array<bigint>, layout array<double>"
+        return marked(self.hashes, hashes, rows, n)
+
+    def meta(self, layout: np.ndarray, source: list, lang: list) -> Mixed:
+        rows, cols, first = [], [], 0
+        for places, values in ((self.sources, source), (self.langs, lang)):
+            at = np.array([places.get(v, -1) for v in values], np.int64)
+            rows.append(np.flatnonzero(at >= 0))
+            cols.append(at[rows[-1]] + first)
+            first += len(places)
+        return Mixed((layout - self.centre) / self.scale, Sparse(np.concatenate(rows), np.concatenate(cols), (len(layout), first)))
+
+
+def marked(names: np.ndarray, hashes: np.ndarray, rows: np.ndarray, n: int) -> Sparse:
+    """Which of names each of n rows has."""
+    if not len(names):
+        return Sparse(np.empty(0, int), np.empty(0, int), (n, 0))
+    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+    hit = names[at] == hashes
+    cell = np.unique(rows[hit].astype(np.int64) * len(names) + at[hit])
+    return Sparse(cell // len(names), cell % len(names), (n, len(names)))
+
+
+def _sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Written labelled rows with their text and marks."""
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(marks, "doc_id")
+    ids = ids.select("doc_id", "bad", "toxic", hash60(F.lit("quality"), F.col("doc_id")).alias("h"))
+    chosen = materialize(ids.orderBy("h", "doc_id").limit(LABELLED), "quality-sample")
+    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["key"])
+    return materialize(rows.select("doc_id", "key", "text", "source", "lang", "bad", "toxic"), "quality-rows")
+
+
+def _vocabulary(rows: DataFrame) -> np.ndarray:
+    """Ascending hashes of the FEATURES runs that tell the classes of the sample best."""
 
     def run(batches):
         for batch in batches:
             for row, data, offsets in W.pieces(batch.column("text")):
-                n = len(offsets) - 1
                 h, of = text_features(data, offsets)
-                lists = []
-                order = np.argsort(of, kind="stable")
-                h, cut = h[order], np.searchsorted(of[order], np.arange(n + 1))
-                for r in range(n):
-                    lists.append(np.unique(h[cut[r] : cut[r + 1]]).view(np.int64))
-                part = batch.slice(row, n)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").cast(pa.string()), *[part.column(c).cast(pa.string()) for c in ("source", "lang")], *[part.column(c).cast(pa.int32()) for c in ("quality", "toxic")],
-                    pa.array(lists, pa.list_(pa.int64())), pa.array(layout_features(data, offsets).tolist(), pa.list_(pa.float64())),
-                ], names=["doc_id", "source", "lang", "quality", "toxic", "hashes", "layout"])
+                pair = np.unique(np.column_stack([of.astype(np.int64), h.view(np.int64)]), axis=0)
+                marks = [pa.compute.take(batch.column(c).slice(row, len(offsets) - 1), pa.array(pair[:, 0])) for c in ("bad", "toxic")]
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1]), *marks], names=["h", "bad", "toxic"])
+
+    rows = rows.select("text", "bad", "toxic")
+    totals = rows.agg(*[F.count_if(F.col(c) == v).alias(f"{c}{v}") for c in ("bad", "toxic") for v in (1, 0)]).first()
+    seen = rows.mapInArrow(run, "h bigint, bad int, toxic int").groupBy("h").agg(*[F.count_if(F.col(c) == v).alias(f"{c}{v}") for c in ("bad", "toxic") for v in (1, 0)])
+
+    def strength(c: str):
+        # log-odds of presence by class, over its standard deviation
+        p, q = F.col(f"{c}1"), F.col(f"{c}0")
+        a, b = (max(totals[f"{c}{v}"], 1) for v in (1, 0))
+        z = F.log((p + 0.5) / (a - p + 0.5)) - F.log((q + 0.5) / (b - q + 0.5))
+        return F.when(p + q >= 4, F.abs(z) / F.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))).otherwise(0.0)
+
+    best = seen.select("h", F.greatest(strength("bad"), strength("toxic")).alias("z")).filter("z > 0").orderBy(F.desc("z"), "h").limit(FEATURES)
+    return np.sort(best.select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
-    return rows.mapInArrow(run, schema).orderBy("doc_id").toArrow().combine_chunks()
+
+def featured(rows: DataFrame, names: np.ndarray) -> DataFrame:
+    """The text of rows replaced by which of names it has (cols), and its layout."""
+    own = [c for c in rows.columns if c != "text"]
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+    schema = T.StructType([*[rows.schema[c] for c in own], T.StructField("cols", T.ArrayType(T.IntegerType())), T.StructField("layout", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in W.pieces(batch.column("text")):
+                n = len(offsets) - 1
+                x, layout = marked(shared.value, *text_features(data, offsets), n), layout_features(data, offsets)
+                part = batch.slice(row, n)
+                lists = (np.searchsorted(x.rows, np.arange(n + 1)), x.cols.astype(np.int32)), (np.arange(n + 1) * layout.shape[1], layout.ravel())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], *[pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v)) for at, v in lists]], names=[*own, "cols", "layout"])
+
+    return rows.mapInArrow(run, schema)
+
+
+class Rows:
+    """Rows that came from featured()."""
+
+    def __init__(self, table, width: int):
+        self.n, self.width = table.num_rows, width
+        lists = {c: table[c].combine_chunks() if isinstance(table, pa.Table) else table.column(c) for c in ("cols", "layout")}
+        self.cols = lists["cols"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.of = np.repeat(np.arange(self.n), lists["cols"].value_lengths().to_numpy(zero_copy_only=False))
+        self.layout = lists["layout"].flatten().to_numpy(zero_copy_only=False).reshape(self.n, -1) if self.n else np.zeros((0, LAYOUT))
+        self.source, self.lang = table["source"].to_pylist(), table["lang"].to_pylist()
+
+    def add(self, more: Rows) -> None:
+        self.cols, self.of = np.concatenate([self.cols, more.cols]), np.concatenate([self.of, more.of + self.n])
+        self.layout = np.vstack([self.layout, more.layout])
+        self.source, self.lang, self.n = self.source + more.source, self.lang + more.lang, self.n + more.n
+
+    def views(self, model: Model) -> dict:
+        return {"text": Sparse(self.of, self.cols, (self.n, self.width)), "meta": model.meta(self.layout, self.source, self.lang)}
+
+
+def _surest(free: DataFrame, model: Model, pupils: dict, linear: dict, taken: dict) -> pa.Table:
+    """Of all rows without a label, those that a view is surest of: head, view, label, and the row. linear, taken: by head and view, its model and the keys that the other view knows."""
+    keys = [(h, v, label) for h, v in linear for label in (1, 0)]
+    shared = free.sparkSession.sparkContext.broadcast((model, linear, taken))
+    least = float(np.log(SURE / (1 - SURE)))
+
+    def odds_of(batch):
+        """By key, log-odds of the label; below 0 for rows that are not to be labelled."""
+        m, linear, taken = shared.value
+        views = Rows(batch, len(m.hashes)).views(m)
+        key, out = batch.column("key").to_numpy(), {}
+        for (h, v), line in linear.items():
+            odds = line.odds(views[v])
+            open_ = batch.column(h).is_null().to_numpy(zero_copy_only=False) & ~np.isin(key, taken[h, v])
+            for label in (1, 0):
+                out[h, v, label] = np.where(open_, odds if label else -odds, -1.0)
+        return out
+
+    def bucket(odds):
+        return np.minimum(odds * SURE_STEPS, SURE_BUCKETS - 1).astype(np.int64)
+
+    def count(batches):
+        total = np.zeros((len(keys), SURE_BUCKETS), np.int64)
+        for batch in batches:
+            for i, odds in enumerate(odds_of(batch).values()):
+                total[i] += np.bincount(bucket(odds[odds >= least]), minlength=SURE_BUCKETS)
+        i, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(b), pa.array(total[i, b])], names=["i", "b", "n"])
+
+    found = free.mapInArrow(count, "i bigint, b bigint, n bigint").groupBy("i", "b").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros((len(keys), SURE_BUCKETS), np.int64)
+    total[found["i"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
+    most = [pupils[h].most(label) for h, _, label in keys]
+    above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1]
+    floors = [int(np.flatnonzero(a >= k).max()) if a[0] >= k else 0 for a, k in zip(above, most)]
+
+    def pick(batches):
+        for batch in batches:
+            odds = odds_of(batch)
+            for i, k in enumerate(keys):
+                hit = pa.array(np.flatnonzero((odds[k] >= least) & (bucket(odds[k]) >= floors[i])))
+                if len(hit):
+                    part = batch.take(hit)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), i)), pa.array(odds[k][hit.to_numpy()]), *part.columns], names=["i", "odds", *part.schema.names])
+
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("odds", T.DoubleType()), *free.schema.fields])
+    near = materialize(free.mapInArrow(pick, schema), "quality-surest")
+    parts = [near.filter(F.col("i") == i).orderBy(F.desc("odds"), "key").limit(k) for i, k in enumerate(most)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("i", F.desc("odds"), "key").toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns both heads from the sample."""
-    rows = _sample(docs, labels)
-    n = rows.num_rows
-    column = lambda c: rows[c].combine_chunks() if n else pa.array([], rows.schema.field(c).type)
-    mark = lambda c: np.clip(column(c).fill_null(-1).to_numpy(zero_copy_only=False), -1, 1).astype(float)
-    good, toxic = mark("quality"), mark("toxic")
-    good = np.where(good < 0, -1, 1 - good)
-    lists = column("hashes")
-    hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    of = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())) if n else np.empty(0, int)
-    layout = column("layout").flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 13))
-    source, lang = column("source").to_pylist(), column("lang").to_pylist()
-    names, inverse = np.unique(hashes, return_inverse=True)
-    strength = np.zeros(len(names))
-    for y in (good, toxic):
-        # log-odds of presence by class, over its standard deviation
-        p, q = (np.bincount(inverse[y[of] == c], minlength=len(names)) for c in (1, 0))
-        a, b = max((y == 1).sum(), 1), max((y == 0).sum(), 1)
-        z = np.log((p + 0.5) / (a - p + 0.5)) - np.log((q + 0.5) / (b - q + 0.5))
-        z = np.abs(z) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
-        strength = np.maximum(strength, np.where(p + q >= 4, z, 0))
-    keep = np.sort(np.lexsort((names, -strength))[:FEATURES])
-    keep = keep[strength[keep] > 0]
-    top = lambda values: {v: i for i, v in enumerate(sorted({x for x in values if x is not None})[:500])}
-    model = Model(names[keep], top(source), top(lang), layout.mean(axis=0) if n else np.zeros(13), np.maximum(layout.std(axis=0), 1e-6) if n else np.ones(13), {})
-    text = model.text(hashes, of, n)
-    meta = model.meta(layout, source, lang)
-    model.heads = {"score": co_train(text, meta, good), "toxic": co_train(text, meta, toxic)}
-    return model
+    """Learns both heads from the sample, and from what their views say of all other rows."""
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", F.col("source").cast("string"), F.col("lang").cast("string"))
+    one = lambda c: F.when(c <= 0, 0).when(c > 0, 1)
+    marks = labels.groupBy("doc_id").agg((1 - one(F.min("quality"))).alias("bad"), one(F.max("toxic")).alias("toxic")).filter("doc_id IS NOT NULL AND (bad IS NOT NULL OR toxic IS NOT NULL)")
+    some = _sample(docs, marks)
+    names = _vocabulary(some)
+    table = featured(some, names).orderBy("doc_id", "key").toArrow()
+    rows = Rows(table, len(names))
+    mark = lambda c: table[c].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False).astype(float) if rows.n else np.empty(0)
+    pupils = {h: Pupil(mark(h)) for h in ("bad", "toxic")}
+    centre, scale = (rows.layout.mean(axis=0), np.maximum(rows.layout.std(axis=0), 1e-6)) if rows.n else (np.zeros(LAYOUT), np.ones(LAYOUT))
+
+    def model() -> Model:
+        every = lambda values: {v: i for i, v in enumerate(sorted({x for x in values if x is not None}))}
+        return Model(names, every(rows.source), every(rows.lang), centre, scale, {})
+
+    able = {h: p for h, p in pupils.items() if p.able}
+    taken = {(h, v): np.empty(0, np.int64) for h in able for v in VIEWS}
+    free = None
+    for _ in range(ROUNDS if able else 0):
+        now = model()
+        views = rows.views(now)
+        linear = {(h, v): m for h, p in able.items() for v, m in p.learn(views).items()}
+        free = _free(docs, marks, names) if free is None else free
+        found = _surest(free, now, able, linear, taken)
+        if not found.num_rows:
+            break
+        keys = [(h, v, label) for h, v in linear for label in (1, 0)]
+        told = found["key"].to_numpy()
+        for r, i in enumerate(found["i"].to_pylist()):
+            h, v, label = keys[i]
+            if told[r] not in taken[h, v]:
+                able[h].known[VIEWS[v]][rows.n + r] = label
+                taken[h, v] = np.append(taken[h, v], told[r])
+        rows.add(Rows(found, len(names)))
+    out = model()
+    out.heads = {name: pupils[h].head(rows.views(out)) if pupils[h].able else None for name, h in (("score", "bad"), ("toxic", "toxic"))}
+    return out
+
+
+def _free(docs: DataFrame, marks: DataFrame, names: np.ndarray) -> DataFrame:
+    """Written features of all rows that lack a label of some head."""
+    rows = featured(docs, names)
+    known = rows.filter("doc_id IS NOT NULL").join(marks, "doc_id", "left")
+    nameless = rows.filter("doc_id IS NULL").withColumns({c: F.lit(None).cast("int") for c in ("bad", "toxic")})
+    return materialize(known.unionByName(nameless).filter("bad IS NULL OR toxic IS NULL").drop("doc_id"), "quality-free")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

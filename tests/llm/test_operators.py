@@ -348,3 +348,34 @@ def test_words_and_shingles():
     assert [bytes(text[a:b]) for a, b in zip(starts, ends)] == [b"ab", b"c", b"d", b"ab"] and row.tolist() == [0, 0, 0, 1]
     h = words.word_hashes(starts, ends, text)
     assert h[0] == h[3] and len(set(h.tolist())) == 3
+
+
+def test_quality_uses_every_source_and_row(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, marks = [], []
+    for i in range(900):
+        w = [str(x) for x in rng.choice([f"word{c}" for c in "abcdefgh"], 30)]
+        rows.append((i if i % 50 else None, (" | " if i % 5 == 0 else " ").join(w), "en", f"s{i:04}"))
+        if i < 620 and i % 50:
+            marks.append((i, int(i % 5 > 0), None))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "EXCHANGE", 10)
+    seen, plain = [], quality._surest
+
+    def surest(free, model, pupils, linear, taken):
+        out = plain(free, model, pupils, linear, taken)
+        table = free.orderBy("key").toArrow()
+        open_, keys, marked = quality.Rows(table, len(model.hashes)), table["key"].to_numpy(), np.array(table["bad"].is_valid())
+        mine = out.filter(pa.array(np.array(out["i"]) == 0))
+        odds = linear["bad", "text"].odds(open_.views(model)["text"])
+        odds = np.where(marked | np.isin(keys, taken["bad", "text"]), -1, odds)
+        best = np.sort(odds[odds >= np.log(19)])[::-1][: pupils["bad"].most(1)]
+        seen.append((open_.n, np.allclose(mine["odds"].to_numpy(), best)))
+        return out
+
+    monkeypatch.setattr(quality, "_surest", surest)
+    model = quality.train(table, labels)
+    assert len(model.sources) >= len(marks) and quality.LABELLED == 8000
+    # all rows are there to be labelled: no head has toxic marks, so each lacks one
+    assert len(seen) == quality.ROUNDS and all(s == (900, True) for s in seen)
