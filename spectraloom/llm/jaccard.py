@@ -142,20 +142,25 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield row, *W.shingle_sets(data, offsets, n)
 
 
+def text_key(text="text"):
+    """Hash of a text, which with the id tells rows apart."""
+    return F.xxhash64(text)
+
+
 def profile(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, node, bitmap)."""
+    """(doc_id, text) -> (doc_id, key, n_shingles, node, bitmap); key is the hash of the text."""
 
     def run(batches):
         for batch in batches:
             for row, values, at in _sets(batch, n):
                 rows = len(at) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, rows), pa.array(np.diff(at), pa.int64()), pa.array(nodes(values, at), pa.int64()), pa.array(bitmaps(values, at), pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "bitmap"],
+                    [*[batch.column(c).slice(row, rows) for c in ("doc_id", "key")], pa.array(np.diff(at), pa.int64()), pa.array(nodes(values, at), pa.int64()), pa.array(bitmaps(values, at), pa.binary())],
+                    names=["doc_id", "key", "n_shingles", "node", "bitmap"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, bitmap binary")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key bigint, n_shingles bigint, node bigint, bitmap binary")
 
 
 def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -314,7 +319,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of the wanted (doc_id, node)."""
+    """(node, shingles) of the wanted (doc_id, key, node): by the id, or where it is null by the text's hash."""
 
     def run(batches):
         seen: set[int] = set()
@@ -329,15 +334,21 @@ def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([pa.array(node[keep]), lists], names=["node", "shingles"])
 
-    found = docs.select("doc_id", "text").join(_few(wanted), "doc_id").select("text", "node")
+    rows = docs.select("doc_id", "text")
+    found = rows.join(_few(wanted.filter("doc_id IS NOT NULL").select("doc_id", "node")), "doc_id").select("text", "node")
+    nameless = wanted.filter("doc_id IS NULL").select("key", "node")
+    if not nameless.isEmpty():
+        # copies of a text without an id are one here
+        own = rows.filter("doc_id IS NULL").withColumn("key", text_key()).join(_few(nameless), "key").dropDuplicates(["node"])
+        found = found.unionByName(own.select("text", "node"))
     return found.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def _sets_of(pairs: DataFrame, seen: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Written (node, shingles) of the nodes in pairs, from the first document that has each."""
     members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    owners = seen.filter("n_shingles > 0").join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    return materialize(node_sets(docs, materialize(owners.select("doc_id", "node"), "set-owners"), n), "sets")
+    owners = seen.filter("n_shingles > 0").join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    return materialize(node_sets(docs, materialize(owners.select("doc_id", "key", "node"), "set-owners"), n), "sets")
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -386,9 +397,8 @@ def _unsettled(groups: DataFrame, comps: DataFrame, facts: DataFrame, percent: i
     return dealt.repartition("_f", "_t", "block").sortWithinPartitions("gkey", "block").drop("_f", "_t").mapInArrow(_open_pairs(percent, nearest), "a bigint, b bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the least id that links reach)."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def placed_rows(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, text) -> one row per input row: doc_id, key, n_shingles, _c (the component's node, null without shingles)."""
     seen = materialize(profile(docs, n), "shingle-sets")
     rows = signed(docs, n, percent)
     grouped = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_group_runs, "gkey bigint, leader bigint, node bigint, size bigint")
@@ -414,10 +424,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not more.isEmpty():
             edges = edges.unionByName(more)
             whole = materialize(connected_components(edges), "components")
-    placed = seen.select("doc_id", "n_shingles", "node").join(whole, "node", "left").withColumn("_c", F.coalesce("component", "node"))
-    placed = placed.withColumn("_c", F.when(F.col("n_shingles") > 0, F.col("_c")))
+    placed = seen.select("doc_id", "key", "n_shingles", "node").join(whole, "node", "left").withColumn("_c", F.coalesce("component", "node"))
+    return placed.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_c")).alias("_c"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the least id that links reach)."""
+    placed = placed_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), n, percent)
     first = placed.filter("_c IS NOT NULL").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    out = placed.drop("component").join(first, "_c", "left")
+    out = placed.join(first, "_c", "left")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

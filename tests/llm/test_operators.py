@@ -196,6 +196,18 @@ def test_jaccard_against_brute_force(docs, none, spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_jaccard_links_texts_without_an_id(spark):
+    words_ = [f"n{j}" for j in range(100)]
+    change = lambda *at: " ".join("x" + w if j in at else w for j, w in enumerate(words_))
+    # 1 and 2 differ by too much; the text between them has no id. Then a near copy of 3 without an id, and two such texts alone
+    rows = [(1, change(0, 50)), (2, change(99, 70)), (None, change()), (None, change()), (3, "y " + change().replace("n", "m")), (None, change(3).replace("n", "m"))]
+    rows += [(None, change(1, 2).replace("n", "k")), (None, change(1).replace("n", "k")), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=repr)
+    assert got == brute_components(rows)
+    assert [g[3] for g in got if g[1] in (1, 2)] == [1, 1]
+
+
 def test_signatures_share_one_for_similar_sets():
     rng = np.random.default_rng(11)
     for _ in range(300):
