@@ -5,8 +5,8 @@ Parquet and read again as the docs of the next. All but the last keep the column
 of documents. Rows are kept or dropped whole; only the secret scan changes texts.
 
 Defined results: null texts are empty; null ids, sources and languages are values
-of their own; of a group of near duplicates the row with the least id stays, and of
-rows with that same id the one with the least text; an empty table gives an empty
+of their own; of a group of near duplicates the row with the least id stays (a null one
+last), and of rows with that same id the one with the least text; an empty table gives an empty
 result; extra columns pass through all stages but the last.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.llm import jaccard, mixing, packing, quality, secrets
-from spectraloom.llm.common import materialize
+from spectraloom.llm.common import WORD, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,22 +26,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each component of the Jaccard join.
+    """Keeps the first row of each component of the Jaccard join.
 
     Without shingles a text links with nothing, and stays. Rows that repeat one id
-    are told apart by their text; equal rows are one document.
+    are told apart by their text; rows that repeat an id and a text are one document.
     """
-    found = jaccard.jaccard_components(docs)
-    # per kept id, whether any of its rows is first of its component
-    first = found.filter((F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    repeated = materialize(repeated, "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])).alias("_r"))
-    one = least.select("doc_id", "_r.*").select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(one)
+    blank = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    nameless = docs.filter(blank & F.col("doc_id").isNull())
+    found = jaccard.placed_rows(docs.select("doc_id", "text")).filter("_c IS NOT NULL OR doc_id IS NOT NULL")
+    # texts without shingles are components of their own, by id and text
+    found = materialize(found.select("doc_id", "key", F.coalesce("_c", F.xxhash64(F.lit("blank"), "doc_id", "key")).alias("_c")), "placed-rows")
+    least = found.groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("_l")).select(F.col("_c").alias("_of"), F.col("_l.doc_id").alias("_id"))
+    first = found.join(least, (F.col("_c") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    first = materialize(first.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_c").agg(F.count(F.lit(1)).alias("_n")), "first-rows")
+    # several rows of a component have its least id
+    several = materialize(first.groupBy("_c").agg(F.sum("_n").alias("_n")).filter("_n > 1").select("_c"), "repeated-ids")
+    own = [docs[c] for c in docs.columns]
+
+    def rows(wanted: DataFrame) -> DataFrame:
+        return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (jaccard.text_key(docs["text"]) == wanted["_key"]))
+
+    if several.isEmpty():
+        return rows(first).select(*own).unionByName(nameless)
+    kept = rows(first.join(several, "_c", "left_anti")).select(*own)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    repeated = rows(first.join(several, "_c", "left_semi")).select("_c", F.struct(docs["text"], docs["doc_id"], *[docs[c] for c in rest]).alias("_r"))
+    one = repeated.groupBy("_c").agg(F.min("_r").alias("_r")).select("_r.*").select(*docs.columns)
+    return kept.unionByName(one).unionByName(nameless)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,14 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark, tmp_path):
+    text = lambda i, last="": " ".join(f"w{i * 1000 + j}" for j in range(40)) + last
+    # id 7: a copy of 3 and a text of its own; id 8: two texts of its own; id 9: two near copies, and no id at all: a near copy of 3, and a text of its own twice
+    rows = [(3, text(1, " z")), (7, text(1)), (7, text(2)), (8, text(3)), (8, text(4)), (9, text(5, " b")), (9, text(5, " a")), (None, text(1, " y")), (None, text(6)), (None, text(6)), (10, ""), (10, ""), (10, None), (None, " "), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), None, None) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.near_duplicates_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    want = [(3, text(1, " z")), (7, text(2)), (8, text(3)), (8, text(4)), (9, text(5, " a")), (None, text(6)), (10, ""), (10, None), (None, " "), (None, None)]
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted(want, key=repr)
