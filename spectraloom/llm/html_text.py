@@ -39,7 +39,7 @@ LOW, LOW_INSIDE = 0.5, 0.2
 CONTENT = 0.9
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 #: Kinds of elements.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -63,6 +63,14 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Values by name in lower case; of a name that repeats, the first counts."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), value.strip("\"'"))
+    return out
+
+
 class Page:
     """Blocks of a page: (path of containers, cut by itself, in an article, text)."""
 
@@ -131,9 +139,9 @@ class Page:
             if attrs.endswith("/") and tag not in LEAF and tag not in MAIN and "svg" in tag:
                 continue
             up = stack[-1] if stack else ("", None, False, False)
-            names = {a[0].lower(): a[1].strip("\"'") for a in ATTRIBUTE.findall(attrs)} if attrs else {}
+            names = attributes(attrs) if attrs else {}
             label = f"{names.get('class', '')} {names.get('id', '')}"
-            cut = up[2] or tag in CUT or names.get("role", "").lower() in CUT_ROLES or "hidden" in names
+            cut = up[2] or tag in CUT or names.get("role", "").lower() in CUT_ROLES or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
             if tag == "header" and not up[3]:
                 cut = True
             if not cut and tag not in ("html", "body", "main", "article") and label != " " and CUT_NAMES.search(label):
