@@ -9,12 +9,16 @@ article is high. Branches of low importance are cut from each page.
 What a page says of itself comes first: menus, headers, footers, sidebars, forms,
 adverts, notices and comments by tag, role or class are cut; a page with an
 article or main element gives the text inside; the tree decides on the remaining
-containers. Paragraphs, headings, items and cells are never cut on their own.
+containers and blocks. A block (paragraph, heading, item, cell) is a leaf of the
+tree; its importance is 1 - log d / log m if d of the m pages that have such
+a leaf say the same in it. So what one article alone says is never cut as a block,
+and inside an article only what most repeat.
 
 Text: character references decoded, white space in a block one space, blocks by
 "\\n". Defined results: null or empty html gives ""; a null url is the host "";
 hosts with fewer than PAGES distinct pages have no tree; broken markup is read to
-its end; scripts end at their end tag only; copies of a page count once.
+its end; scripts end at their end tag only; pages count once that are
+copies, or differ only in what they cut themselves.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .common import materialize
 
 #: Distinct pages that a host must have for its tree to count.
 PAGES = 5
-#: Importance under which a branch is cut, and under which it is cut inside an article.
+#: Importance under which a branch or block is cut, and under which it is cut inside an article.
 LOW, LOW_INSIDE = 0.5, 0.2
 #: Weight of contents against presentation.
 CONTENT = 0.9
@@ -72,10 +76,11 @@ def attributes(text: str) -> dict[str, str]:
 
 
 class Page:
-    """Blocks of a page: (path of containers, cut by itself, in an article, text)."""
+    """Blocks of a page: (path of containers, cut by itself, in an article, text), and the leaf that each is in."""
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[tuple[str, ...], bool, bool, str]] = []
+        self.leaves: list[str] = []
         self.children: dict[tuple[str, ...], list[str]] = {}
         self._read(html or "")
 
@@ -93,6 +98,7 @@ class Page:
                 if line:
                     top = stack[-1] if stack else ("", None, False, False)
                     self.blocks.append((tuple(path), top[2], top[3], line))
+                    self.leaves.append(top[0] if top[1] is None else "")
 
         def close(n: int):
             while len(stack) > n:
@@ -162,31 +168,43 @@ class Page:
                 out.setdefault(path[:i], []).append(line)
         return out
 
+    def leaf_nodes(self) -> tuple[int, set[tuple[int, int]]]:
+        """Digest of what is left by what the page says of itself, and (leaf, leaf with what it says) of its blocks."""
+        left = [(path, leaf, line) for (path, _, _, line), leaf, (_, by) in zip(self.blocks, self.leaves, self.decided(frozenset(), frozenset())) if not by]
+        return _digest([x[2] for x in left]), {(leaf_key(path, leaf), leaf_key(path, leaf, line)) for path, leaf, line in left}
+
     def text(self, low: frozenset[int], low_inside: frozenset[int]) -> str:
+        return "\n".join(line for line, by in self.decided(low, low_inside) if by == "")
+
+    def decided(self, low: frozenset[int], low_inside: frozenset[int]) -> Iterator[tuple[str, str]]:
+        """(text, what cuts it: page, branch, leaf or nothing) of each block."""
         inside = any(b[2] for b in self.blocks)
-        out = []
-        for path, cut, main, line in self.blocks:
-            if cut or (inside and not main):
-                continue
+        for (path, cut, main, line), leaf in zip(self.blocks, self.leaves):
             bad = low_inside if main else low
-            if bad and any(node_key(path[:i]) in bad for i in range(1, len(path) + 1) if not path[i - 1].startswith(("html.", "body.", "article.", "main."))):
-                continue
-            out.append(line)
-        return "\n".join(out)
+            if cut or (inside and not main):
+                yield line, "page"
+            elif bad and any(node_key(path[:i]) in bad for i in range(1, len(path) + 1) if not path[i - 1].startswith(("html.", "body.", "article.", "main."))):
+                yield line, "branch"
+            else:
+                yield line, "leaf" if bad and leaf_key(path, leaf, line) in bad else ""
 
 
 def node_key(path: tuple[str, ...]) -> int:
     return xxhash.xxh64_intdigest("/".join(path)) - (1 << 63)
 
 
+def leaf_key(path: tuple[str, ...], leaf: str, line: str = "") -> int:
+    return _digest(["/".join(path), leaf, line])
+
+
 def _digest(parts: list[str]) -> int:
     return xxhash.xxh64_intdigest("\n".join(parts)) - (1 << 63)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(url, html) -> (host, node, pages, content, presentation, importance) of hosts with PAGES distinct pages or more.
+    """(url, html) -> (host, node, pages, content, presentation, importance) of hosts with PAGES distinct pages or more; for leaves, node has what they say.
 
-    Each distinct page of a host sends a row per container; counts of equal
+    Each distinct page of a host sends a row per container and per leaf; counts of equal
     contents combine before they are summed, so a hot host is spread over tasks.
     """
 
@@ -196,16 +214,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
             seen: set[tuple[str, int]] = set()
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 page = Page(source)
-                host, whole = host_of(url), _digest([b[3] for b in page.blocks])
+                host, (whole, leaves) = host_of(url), page.leaf_nodes()
                 if (host, whole) in seen:
                     continue
                 seen.add((host, whole))
-                rows += [(host, node_key(path), whole, _digest(lines), _digest(page.children.get(path, []))) for path, lines in page.nodes().items()]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["host", "node", "page", "content", "style"])
+                rows += [(host, node_key(path), whole, _digest(lines), _digest(page.children.get(path, [])), 0) for path, lines in page.nodes().items()]
+                rows += [(host, leaf, whole, None, None, said) for leaf, said in leaves]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["host", "node", "page", "content", "style", "said"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, node bigint, page bigint, content bigint, style bigint")
-    rows = materialize(rows.dropDuplicates(["host", "node", "page"]), "style-nodes")
+    rows = pages.select("url", "html").mapInArrow(run, "host string, node bigint, page bigint, content bigint, style bigint, said bigint")
+    every = materialize(rows.dropDuplicates(["host", "node", "page", "said"]), "style-nodes")
+    rows, leaves = every.filter("said = 0"), every.filter("said != 0")
 
     def entropy(column: str) -> DataFrame:
         counts = rows.groupBy("host", "node", column).agg(F.count(F.lit(1)).alias("_c"))
@@ -214,14 +234,24 @@ def style_tree(pages: DataFrame) -> DataFrame:
         return total.filter(F.col("_m") >= PAGES).select("host", "node", F.col("_m").alias("pages"), share.alias(column))
 
     both = entropy("content").join(entropy("style").drop("pages"), ["host", "node"])
-    return both.select("host", "node", "pages", "content", F.col("style").alias("presentation"), (CONTENT * F.col("content") + (1 - CONTENT) * F.col("style")).alias("importance"))
+    repeated = leaves.groupBy("host", "node", "said").agg(F.count(F.lit(1)).alias("_d")).filter("_d > 1")
+    having = leaves.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= PAGES)
+    share = 1 - F.log("_d") / F.log("pages")
+    said = repeated.join(having, ["host", "node"]).select("host", F.col("said").alias("node"), "pages", share.alias("content"), F.lit(None).cast("double").alias("presentation"), share.alias("importance"))
+    both = both.select("host", "node", "pages", "content", F.col("style").alias("presentation"), (CONTENT * F.col("content") + (1 - CONTENT) * F.col("style")).alias("importance"))
+    return both.unionByName(said)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> page_id, url, text, n_chars."""
+def style_cuts(pages: DataFrame) -> DataFrame:
+    """Written (host, _low, _inside): nodes to cut, and those to cut inside an article."""
     low = style_tree(pages).filter(F.col("importance") < LOW)
     cuts = low.groupBy("host").agg(F.collect_list("node").alias("_low"), F.collect_list(F.when(F.col("importance") < LOW_INSIDE, F.col("node"))).alias("_inside"))
-    cuts = materialize(cuts, "style-cuts")
+    return materialize(cuts, "style-cuts")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) -> page_id, url, text, n_chars."""
+    cuts = style_cuts(pages)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def hosts(batches: Iterator[pa.RecordBatch]):

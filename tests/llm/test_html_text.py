@@ -13,3 +13,15 @@ def test_html_attributes_that_hide_nothing(attrs):
 @pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", 'aria-hidden="true"', 'role="search"', "role=search", 'title="a>b" hidden', "class=sidebar", "CLASS = 'sidebar'", "data-x/hidden"])
 def test_html_attributes_that_hide(attrs):
     assert html_text.Page(f"<div {attrs}><p>x</p></div><p>y</p>").text(frozenset(), frozenset()) == "y"
+
+
+def test_html_blocks_that_a_host_repeats_inside_articles(spark):
+    page = lambda i: f"<article><h1>Title {i}</h1><p>Read this on our site</p><p>Text {i // 2} of two pages</p><ul><li>Item {i}</li><li>Subscribe now</li></ul></article>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(100 + i, f"http://few.example/{i}", page(i)) for i in range(4)]
+    # one article under many menus
+    rows += [(200 + i, "http://same.example/", f"<nav>{i}</nav>" + page(1)) for i in range(9)]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in out:
+        i = r.page_id % 100 if r.page_id < 200 else 1
+        own = [f"Title {i}", f"Text {i // 2} of two pages", f"Item {i}"]
+        assert r.text.split("\n") == (own if r.page_id < 100 else [own[0], "Read this on our site", *own[1:], "Subscribe now"])
