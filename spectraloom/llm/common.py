@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,29 +40,52 @@ def hash60(*parts: Column | str) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (single machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run on this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spectraloom-"))
+    if not found.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spectraloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(hadoop) if at_exit else fs.delete(hadoop, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/spectraloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    """A fresh path in the shared folder, below the application's own; removed when the driver's JVM ends, or by sweep()."""
+    path = f"{scratch_root(spark)}/spectraloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _remove(spark, path, at_exit=True)
     return path
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _remove(spark, path)
+
+
+def sweep(spark: SparkSession, application: str | None = None) -> None:
+    """Removes what an application has left in the shared folder: this one, or one whose driver was killed."""
+    _remove(spark, f"{scratch_root(spark)}/spectraloom/{application or spark.sparkContext.applicationId}")
+
+
+#: Shuffle files go when the query that made them ends, and not only with the driver's next collection of garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -70,7 +95,8 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with tidy_shuffles(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
     out._scratch = path
     return out

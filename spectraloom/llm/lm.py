@@ -1,61 +1,75 @@
-"""Language-model scores from an Elias-Fano trie of word pairs.
+"""Language-model scores from an Elias-Fano n-gram trie of order three.
 
 Training documents are those whose crc32(id as text) mod FOLDS is not HELD. Tokens
 are a text's words in lower case and one end. The unigram base of a text is the
 sum of log10((c + 0.5) / (N + 0.5 (V + 1))). The model is
 
-    p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU),   p(w) as in the base,
+    p(w | u v) = (c(u v w) + M[3] p(w | v)) / (c(u v) + M[3]),
+    p(w | v)   = (c(v w) + M[2] p(w)) / (c(v) + M[2]),   p(w) as in the base,
 
-so log10 p splits into a term of (v, w), looked up in the trie, and one of v.
+with two starts before each text. The weights M do not depend on the corpus.
 
-Word counts are summed over all training text. One more pass sends each pair
-(v, w) of known words to the shard of its hash, with its document; a shard counts
-the pairs of training documents, builds its part of the trie, memory-maps it, and
-looks all pairs of all documents up. So the text crosses the network once, as
-hashes, and no task holds more than a shard of the model. Word counts are handed
-to tasks in slices of at most SLICE words, one pass a slice, whatever the corpus.
+train() writes the model: n-grams are dealt to shards by their hash, and a shard of
+an order is one trie of contexts, pointers and successors with quantised log10
+counts (a shard of words also has their exact counts). An n-gram's probability is
+its count's share, and the total of a context is the entry of the order below, so
+that smoothing needs no shard but those of the n-gram itself.
 
-Words are 64-bit hashes; in a shard, contexts and successors are 32-bit hashes.
-Defined results: null or empty text is the end alone; a null id counts as the
-empty text for the fold; rows with the same id are scored one by one.
+score() reads that model. Documents are taken in chunks of about CHUNK bytes of
+text. A chunk asks each shard for its distinct n-grams, once each however often
+they occur, so that no frequent word or pair makes a shard large; the shard's trie
+is opened where its requests arrive and answers by successor search; the answers
+meet the chunk's documents again, and the chunk is scored. No vocabulary is handed
+to tasks: words are asked for like pairs and triples. Requests are Elias-Fano coded.
+
+A shard knows n-grams by 2 * HALF bits: of a million that the model has not, two
+or so are taken for ones that it has, at the most rows that a shard is planned for.
+
+docs must give the same rows in the same partitions each time it is read, as a
+table does; score() raises if a chunk has other words than when it asked. Defined
+results: null or empty text is the end alone; a null id counts as the empty text
+for the fold; rows with the same id are scored one by one; ids of any type; other
+columns are not looked at; without training documents all counts are 0.
 """
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
-import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .common import documents, materialize
-from .ngram_trie import STEPS, NgramTrie, quantise
+from .ngram_trie import HALF, NONE, STEPS, EliasFano, NgramTrie, quantise
 
 U = np.uint64
 FOLDS, HELD = 5, 1
-MU = 32.0
-#: Words of a slice of the vocabulary: 12 bytes each in a task.
-SLICE = 4_000_000
-#: Words that the driver takes at once.
-FETCH = 250_000
-#: Pairs of a shard, about: 100 bytes each in a task.
+ORDER = 3
+#: Weight of the lower order, by order.
+M = {2: 32.0, 3: 16.0}
+#: Bytes of text of a chunk: about 15 bytes each in a task.
+CHUNK = 8 << 20
+#: N-grams of a shard, about: 50 bytes each in a task.
 SHARD = 2_000_000
-#: Shards at least: a document sends a partial sum for each shard that it has pairs in.
-SHARDS = 64
+#: Bytes of text that make a token, at least about.
+TOKEN_BYTES = 6
 END = U(0xE17B5EC0A9D3F241)
 START = U(0x51C6D3A7F0E2B98D)
 
 
-def held_out(doc_id) -> bool:
-    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD
+def held_out(doc_id):
+    """Column: whether a document is kept from training."""
+    text = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(FOLDS)) == HELD
 
 
-def _token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of some rows, each with its end, and offsets by row."""
     starts, ends, row, folded = W.words(data, offsets)
     h = W.word_hashes(starts, ends, folded)
@@ -68,216 +82,298 @@ def _token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return out, at
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Written (word, n) over training documents, words as hashes; summed in each task first."""
+def before(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The token before each, START at the start of a row."""
+    out = np.empty_like(h)
+    out[1:], out[at[:-1]] = h[:-1], START
+    return out
 
-    def run(batches):
-        seen, counts, size = [], [], 0
 
-        def merged():
-            u, inverse = np.unique(np.concatenate(seen), return_inverse=True)
-            return u, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+def places(h: np.ndarray, at: np.ndarray, shards: int):
+    """For each order, shard << 2 * HALF | context << HALF | successor of the n-gram that ends at each token."""
+    successor = W.mix(h ^ U(0xA24BAED4963EE407)) >> U(64 - HALF)
+    v = before(h, at)
+    # the second word before: that of the word before, START twice at a row's start
+    u = before(v, at)
+    contexts = (h, W.mix(v + U(0x9E3779B97F4A7C15)), W.mix(W.mix(u) * U(0x9FB21C651E98DF25) + v))
+    for n, context in enumerate(contexts):
+        name = W.mix(W.mix(context * U(0xC2B2AE3D27D4EB4F) + h) + U(n))
+        shard = (name >> U(32)) * U(shards) >> U(32)
+        yield (shard << U(2 * HALF)) | (W.mix(context ^ U(0x165667B19E3779F9)) >> U(64 - HALF) << U(HALF)) | successor
 
-        for batch in batches:
-            train = np.array([not held_out(x) for x in batch.column("doc_id").to_pylist()], bool)
-            for row, data, offsets in W.pieces(batch.column("text")):
-                h, at = _token_hashes(data, offsets)
-                keep = np.repeat(train[row : row + len(at) - 1], np.diff(at))
-                u, n = np.unique(h[keep], return_counts=True)
-                seen.append(u)
-                counts.append(n)
-                size += len(u)
-                if size > 2_000_000:
-                    u, n = merged()
-                    seen, counts, size = [u], [n], 0
-        if seen:
-            u, n = merged()
-            for i in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["word", "n"])
-
-    found = docs.select("doc_id", "text").mapInArrow(run, "word bigint, n bigint")
-    return materialize(found.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-
-
-def _pack(uid: np.ndarray, train: np.ndarray, count: np.ndarray, keys: np.ndarray, code: np.ndarray) -> bytes:
-    return struct.pack("<II", len(uid), len(keys)) + b"".join(x.tobytes() for x in (uid.astype(np.int64), train.astype(np.uint8), count.astype(np.uint32), keys, code))
-
-
-def _unpack(data: bytes):
-    n, m = struct.unpack_from("<II", data)
-    at, out = 8, []
-    for kind, size in ((np.int64, n), (np.uint8, n), (np.uint32, n), (U, m), (np.int16, m)):
-        out.append(np.frombuffer(data, kind, size, at))
-        at += out[-1].nbytes
-    return out
 
+def chunks(batches, size: int):
+    """(chunk, batch of its rows, hashes, offsets). The name of a chunk is a digest of its words."""
+    for batch in batches:
+        for row, data, offsets in W.pieces(batch.column("text"), size):
+            h, at = token_hashes(data, offsets)
+            yield xxhash.xxh64_intdigest(h.tobytes() + at.tobytes()) >> 1, batch.slice(row, len(offsets) - 1), h, at
 
-FIELDS = "shard int, pairs binary, uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, terms double"
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values and their counts."""
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
 
-def pair_rows(docs: DataFrame, vocabulary, slice_no: int, slices: int, total: int, distinct: int, starts: int, shards: int) -> DataFrame:
-    """The pass over the text for a slice: a row of sums per document, and per shard and batch a row of packed pairs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    floor = np.log10(total + 0.5 * (distinct + 1))
 
-    def run(batches):
-        raw = vocabulary.value
-        n = len(raw) // 12
-        known, count = np.frombuffer(raw, U, n), np.frombuffer(raw, np.uint32, n, 8 * n)
-        empty = pa.nulls
-        for batch in batches:
-            names = batch.column("doc_id")
-            held = np.array([held_out(x) for x in names.to_pylist()], bool)
-            for row, data, offsets in W.pieces(batch.column("text")):
-                h, at = _token_hashes(data, offsets)
-                rows = len(at) - 1
-                of = np.repeat(np.arange(rows), np.diff(at))
-                u, inverse = np.unique(h, return_inverse=True)
-                mine = ((u >> U(7)) % U(slices)).astype(np.int64) == slice_no
-                place = np.minimum(np.searchsorted(known, u), max(n - 1, 0))
-                c = np.where(known[place] == u, count[place], 0).astype(np.float64) if n else np.zeros(len(u))
-                log_p = np.log10(c + 0.5) - floor
-                context = -np.log10(c + MU)
-                context[u == END] = 0.0
-                unseen = np.where(mine & (c == 0), log_p + np.log10(MU), 0.0)
-                each = np.where(mine, log_p, 0.0)[inverse]
-                terms = (np.where(mine, context, 0.0) + unseen)[inverse]
-                sums = lambda x: np.bincount(of, x, rows)
-                uid = batch.column("uid").slice(row, rows).to_numpy()
-                term = sums(terms)
-                if slice_no == 0:
-                    term = term - np.log10(starts + MU)
-                sizes = np.diff(at) if slice_no == 0 else np.zeros(rows, np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((uid % shards).astype(np.int32)), empty(rows, pa.binary()), pa.array(uid), names.slice(row, rows), pa.array(held[row : row + rows]),
-                    pa.array(sizes), pa.array(sums((mine & (c > 0))[inverse]).astype(np.int64)), pa.array(sums(each)), pa.array(term),
-                ], names=columns)
-                before = np.empty_like(h)
-                before[1:], before[at[:-1]] = h[:-1], START
-                keep = np.flatnonzero((mine & (c > 0))[inverse])
-                v, w = before[keep], h[keep]
-                keys = (v >> U(32) << U(32)) | (w >> U(32))
-                shard = (W.mix(v * U(3) + w) % U(shards)).astype(np.uint16 if shards < 65536 else np.uint32)
-                order = np.argsort(shard, kind="stable")
-                shard, keys, row_of = shard[order], keys[order], of[keep][order]
-                code = quantise(log_p)[inverse[keep]][order]
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                blobs, used = [], []
-                for s in range(shards):
-                    a, b = cut[s], cut[s + 1]
-                    if a < b:
-                        r = row_of[a:b]
-                        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                        blobs.append(_pack(uid[r[first]], ~held[row + r[first]], np.diff(np.append(first, b - a)), keys[a:b], code[a:b]))
-                        used.append(s)
-                k = len(used)
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), *[empty(k, t) for t in types[2:]]], names=columns)
-
-    columns = [f.split()[0] for f in FIELDS.format(kind="x").split(", ")]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    types = [pa.int32(), pa.binary(), pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    # numbers by partition of the scan: each slice gives a document the same one
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")).mapInArrow(run, FIELDS.format(kind=kind))
-
-
-def score_shard(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(uid, sum of log10(c(v, w) + MU p(w))) of the pairs of one shard."""
-    uid, train, count, keys, code = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
-    count = count.astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    first = np.flatnonzero(new)
-    distinct, low = ordered[first], code[order[first]].astype(np.float64) / STEPS
-    in_train = np.repeat(train, count)
-    seen = np.add.reduceat(in_train[order].astype(np.int64), first)
-    low = low + np.log10(MU)
-    inside = np.flatnonzero(seen)
-    trie = NgramTrie.build(distinct[inside], quantise(np.log10(seen[inside] + 10.0 ** low[inside])))
-    fd, path = tempfile.mkstemp(suffix=".trie")
-    os.close(fd)
-    try:
-        trie.write(path)
-        found = NgramTrie.open(path).lookup(distinct)
-    finally:
-        os.unlink(path)
-    value = np.where(found == -32768, low, found / STEPS)
-    del code, ordered, distinct, low, in_train, found
-    each = np.empty(len(keys))
-    each[order] = np.repeat(value, np.diff(np.append(first, len(keys))))
-    at = np.cumsum(count) - count
-    return uid, np.add.reduceat(each, at)
-
-
-def _score_shards(kind: str):
-    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "terms"]
+def _cut(values: np.ndarray, shards: int, order: int):
+    """(number of shard and order, first, last) of the runs of ascending places that lie in one shard."""
+    shard = (values >> U(2 * HALF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
+    for a, b in zip(first.tolist(), np.append(first[1:], len(values)).tolist()):
+        yield order * shards + int(shard[a]), a, b
 
-    def run(batches):
-        held: list[bytes] = []
-        now = None
 
-        def flush():
-            uid, part = score_shard(held)
-            for i in range(0, len(uid), 100_000):
-                n = len(uid[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(uid[i : i + n]), *[pa.nulls(n, t) for t in types], pa.array(part[i : i + n])], names=names)
+KEY = U((1 << 2 * HALF) - 1)
+
+
+def _coded(keys: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """Ascending keys, and their counts in as few bytes as hold them."""
+    out = EliasFano.build(keys & KEY, 1 << 2 * HALF).to_bytes()
+    if counts is None:
+        return out
+    kind = np.min_scalar_type(int(counts.max()))
+    return out + counts.astype(kind).tobytes()
+
+
+def _decoded(data: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(data, np.uint8)
+    sequence, end = EliasFano.view(raw)
+    keys = sequence.all()
+    width = (len(raw) - end) // max(1, len(keys))
+    return keys, raw[end:].view(f"<u{width}").astype(np.int64) if width else np.empty(0, np.int64)
+
+
+@dataclass
+class Model:
+    """table: (sid, trie, counts), a row for each shard and order. total, distinct: training tokens; starts: training documents."""
+
+    table: DataFrame
+    shards: int
+    total: int
+    distinct: int
+    starts: int
+
 
-        types = None
+def _count(shards: int, size: int):
+    def run(batches):
+        for _, rows, h, at in chunks(batches, size):
+            keep = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(at))
+            for n, place in enumerate(places(h, at, shards)):
+                found, counts = _distinct(place[keep])
+                sids, data = [], []
+                for sid, a, b in _cut(found, shards, n):
+                    sids.append(sid)
+                    data.append(_coded(found[a:b], counts[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(data, pa.large_binary()).cast(pa.binary())], names=["sid", "data"])
+
+    return run
+
+
+def _tries(shards: int):
+    """Rows sorted by sid -> the trie of each."""
+
+    def build(sid: int, held: list):
+        keys, counts = (np.concatenate(x) for x in zip(*map(_decoded, held)))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, counts = keys[first], np.add.reduceat(counts, first)
+        trie = NgramTrie.build(keys, quantise(np.log10(counts))).to_bytes()
+        exact = counts.astype("<i8").tobytes() if sid < shards else None
+        row = [pa.array([sid], pa.int64()), pa.array([trie], pa.binary()), pa.array([exact], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())]
+        return pa.RecordBatch.from_arrays(row, names=["sid", "trie", "counts", "distinct", "total"])
+
+    def run(batches):
+        now, held = None, []
         for batch in batches:
-            types = types or [batch.schema.field(c).type for c in names[1:6]]
-            docs = batch.filter(pa.compute.is_valid(batch.column("uid")))
-            if docs.num_rows:
-                yield docs.select(names)
-            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("pairs").to_pylist()):
-                if blob is None:
-                    continue
-                if shard != now and held:
-                    yield from flush()
+            for sid, data in zip(batch.column("sid").to_pylist(), batch.column("data")):
+                if sid != now and held:
+                    yield build(now, held)
                     held = []
-                now = shard
-                held.append(blob)
+                now = sid
+                held.append(data.as_buffer())
         if held:
-            yield from flush()
+            yield build(now, held)
 
-    return run, f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, terms double"
+    return run
 
 
-def _slice_bytes(counts: DataFrame, i: int, slices: int, distinct: int) -> bytes:
-    """Ascending words of a slice and their counts, fetched FETCH words at a time."""
-    steps = max(1, -(-distinct // slices // FETCH))
-    key = F.shiftrightunsigned("word", 7)
-    words, n = [], []
-    for k in range(steps):
-        part = counts.filter((F.pmod(key, F.lit(slices)) == i) & (F.pmod(F.floor(key / slices), F.lit(steps)) == k)).toArrow()
-        words.append(part["word"].to_numpy().view(U))
-        n.append(np.minimum(part["n"].to_numpy(), 2**32 - 1).astype(np.uint32))
-    words, n = np.concatenate(words), np.concatenate(n)
-    order = np.argsort(words)
-    return words[order].tobytes() + n[order].tobytes()
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Counts all training documents and writes the model in the shared folder."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counts = word_counts(docs)
-    end = int(np.array([END]).view(np.int64)[0])
-    total, distinct, starts = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == end, F.col("n")))).first())
-    slices = max(1, -(-distinct // SLICE))
-    # held-out text is about 1 / (FOLDS - 1) of the training text
-    shards = max(SHARDS, -(-int(total * 1.25) // SHARD))
-    passes = None
-    for i in range(slices):
-        vocabulary = spark.sparkContext.broadcast(_slice_bytes(counts, i, slices, distinct))
-        rows = pair_rows(docs, vocabulary, i, slices, total, distinct, starts, shards)
-        passes = rows if passes is None else passes.unionByName(rows)
-    run, fields = _score_shards(docs.schema["doc_id"].dataType.simpleString())
-    parts = passes.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, fields)
-    whole = parts.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.bool_or("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum("terms").alias("score"),
-    )
-    return whole.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = _named(docs, id_col, text_col)
+    size, starts = docs.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(-(-tasks // ORDER), -(-(size or 0) // TOKEN_BYTES // SHARD), 1)
+    found = docs.select("text", "held_out").mapInArrow(_count(shards, CHUNK), "sid bigint, data binary")
+    dealt = found.repartition(max(tasks, ORDER * shards), "sid").sortWithinPartitions("sid")
+    table = materialize(dealt.mapInArrow(_tries(shards), "sid bigint, trie binary, counts binary, distinct bigint, total bigint"), "lm-model")
+    total, distinct = table.filter(F.col("sid") < shards).agg(F.sum("total"), F.sum("distinct")).first()
+    return Model(table, shards, total or 0, distinct or 0, starts)
+
+
+def _ask(shards: int, size: int):
+    def run(batches):
+        for name, _, h, at in chunks(batches, size):
+            for n, place in enumerate(places(h, at, shards)):
+                found, _ = _distinct(place)
+                sids, data = [], []
+                for sid, a, b in _cut(found, shards, n):
+                    sids.append(sid)
+                    data.append(_coded(found[a:b]))
+                empty = pa.nulls(len(sids), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([name] * len(sids), pa.int64()), pa.array(data, pa.large_binary()).cast(pa.binary()), empty], names=["sid", "chunk", "data", "counts"])
+
+    return run
+
+
+def _answer(shards: int):
+    """Rows sorted by sid, the trie first -> (chunk, sid, values): codes of the keys asked for, exact counts for words."""
+
+    def values(trie: NgramTrie | None, exact: np.ndarray | None, sid: int, data: pa.Buffer) -> bytes:
+        keys, _ = _decoded(data)
+        if trie is None:
+            return (np.zeros(len(keys), "<i8") if sid < shards else np.full(len(keys), NONE, "<i2")).tobytes()
+        if sid >= shards:
+            return trie.lookup(keys).tobytes()
+        # words: the code's place is that of the count
+        at = trie.find(keys)
+        return np.where(at >= 0, exact[at], 0).astype("<i8").tobytes()
+
+    def run(batches):
+        now, trie, exact = None, None, None
+        for batch in batches:
+            columns = [batch.column(c) for c in ("sid", "chunk")]
+            sids, names, out = [], [], []
+            for sid, name, data, counts in zip(*[c.to_pylist() for c in columns], batch.column("data"), batch.column("counts")):
+                if name is None:
+                    now, trie = sid, NgramTrie.view(np.frombuffer(data.as_buffer(), np.uint8))
+                    exact = np.frombuffer(counts.as_buffer(), "<i8") if counts.is_valid else None
+                    continue
+                if sid != now:
+                    now, trie, exact = sid, None, None
+                sids.append(sid)
+                names.append(name)
+                out.append(values(trie, exact, sid, data.as_buffer()))
+            if sids:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sids, pa.int64()), pa.array(out, pa.binary())], names=["chunk", "sid", "data"])
+
+    return run
+
+
+def _ship(kind, size: int):
+    """Chunks of documents as rows: (chunk, sid null, data: texts, compressed, ids, held_out)."""
+
+    def run(batches):
+        for name, rows, _, _ in chunks(batches, size):
+            texts = rows.column("text").fill_null("").cast(pa.large_string())
+            n = len(texts)
+            at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+            raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+            body = (at - at[0]).astype("<i8").tobytes() + raw.tobytes()
+            data = struct.pack("<qq", n, len(body)) + pa.compress(body, "zstd", asbytes=True)
+            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays([rows.column(c)])) for c in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary()), *lists], names=["chunk", "sid", "data", "ids", "held"])
+
+    return run
+
+
+def _shipped(data: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    n, size = struct.unpack("<qq", data[:16])
+    body = np.frombuffer(pa.decompress(data[16:], size, "zstd"), np.uint8)
+    return body[8 * (n + 1) :], body[: 8 * (n + 1)].view("<i8")
+
+
+def chunk_scores(h: np.ndarray, at: np.ndarray, shards: int, answers: list[np.ndarray], model: tuple[int, int, int]):
+    """(known tokens, base, score) by row. answers: by order, values of its distinct n-grams in ascending order of their places."""
+    total, distinct, starts = model
+    counts = []
+    for n, place in enumerate(places(h, at, shards)):
+        order = np.argsort(place)
+        ordered = place[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        if int(new.sum()) != len(answers[n]):
+            raise ValueError("documents have changed between two readings; write them to a table first")
+        values = answers[n].astype(np.float64) if n == 0 else np.where(answers[n] == NONE, 0.0, 10.0 ** (answers[n] / STEPS))
+        out = np.empty(len(h))
+        out[order] = values[np.cumsum(new) - 1]
+        counts.append(out)
+
+    def context(c):
+        """Count of what stands before each token: starts before the first."""
+        out = np.empty_like(c)
+        out[1:], out[at[:-1]] = c[:-1], starts
+        return out
+
+    c1, c2, c3 = counts
+    p1 = (c1 + 0.5) / (total + 0.5 * (distinct + 1))
+    p2 = (c2 + M[2] * p1) / (context(c1) + M[2])
+    p3 = (c3 + M[3] * p2) / (context(c2) + M[3])
+    sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.empty(0)
+    return sums((c1 > 0).astype(np.int64)), sums(np.log10(p1)), sums(np.log10(p3))
+
+
+def _score(shards: int, model: tuple[int, int, int], kind):
+    """Rows sorted by chunk, documents first, then answers by sid -> scores."""
+
+    def finish(rows, answers):
+        """Rows are several where chunks have the same words."""
+        if not rows:
+            raise ValueError("documents have changed between two readings; write them to a table first")
+        data = rows[0][2]
+        h, at = token_hashes(*_shipped(data))
+        lists = [np.concatenate([np.frombuffer(a, "<i8" if n == 0 else "<i2") for a in part]) if part else np.empty(0, "<i2") for n, part in enumerate(answers)]
+        known, base, value = chunk_scores(h, at, shards, lists, model)
+        for ids, held, _ in rows:
+            yield result(ids, held, at, known, base, value)
+
+    def result(ids, held, at, known, base, value):
+        arrays = [ids, held, pa.array(np.diff(at)), pa.array(known, pa.int64()), pa.array(np.full(len(known), model[0], np.int64)), pa.array(base), pa.array(value)]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def run(batches):
+        now, last, rows, answers = None, None, [], [[] for _ in range(ORDER)]
+        for batch in batches:
+            for name, sid, data, ids, held in zip(batch.column("chunk").to_pylist(), batch.column("sid").to_pylist(), batch.column("data"), batch.column("ids"), batch.column("held")):
+                if name != now:
+                    if now is not None:
+                        yield from finish(rows, answers)
+                    now, last, rows, answers = name, None, [], [[] for _ in range(ORDER)]
+                if sid is None:
+                    rows.append((ids.values, held.values, data.as_buffer()))
+                elif sid != last:
+                    answers[sid // shards].append(data.as_buffer())
+                    last = sid
+        if now is not None:
+            yield from finish(rows, answers)
+
+    return run
+
+
+def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Without a model, docs are trained on first."""
+    model = model or train(docs, id_col, text_col)
+    spark, shards = docs.sparkSession, model.shards
+    docs = _named(docs, id_col, text_col)
+    kind = docs.schema["doc_id"].dataType
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ORDER * shards)
+    # the same columns as below, so that batches and chunks are the same
+    asked = docs.mapInArrow(_ask(shards, CHUNK), "sid bigint, chunk bigint, data binary, counts binary")
+    tries = model.table.select("sid", F.lit(None).cast("long").alias("chunk"), F.col("trie").alias("data"), "counts")
+    met = tries.unionByName(asked).repartition(tasks, "sid").sortWithinPartitions("sid", F.col("chunk").asc_nulls_first())
+    answers = materialize(met.mapInArrow(_answer(shards), "chunk bigint, sid bigint, data binary"), "lm-answers")
+    lists = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType()))])
+    shipped = docs.mapInArrow(_ship(kind, CHUNK), lists)
+    both = shipped.unionByName(answers, allowMissingColumns=True).repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("sid").asc_nulls_first())
+    fields = [T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    out = both.mapInArrow(_score(shards, (model.total, model.distinct, model.starts), kind), T.StructType(fields))
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

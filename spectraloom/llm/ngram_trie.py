@@ -1,11 +1,11 @@
-"""Two-level n-gram trie in Elias-Fano form, memory-mapped, with vectorised queries.
-
-Contexts are ascending 32-bit word hashes; each has a run of ascending successor
-hashes. Three monotone sequences hold them: contexts, pointers to where runs
-begin, and successors relative to their context (run number * 2 ** 32 + hash).
-Values are quantised log10 probabilities, one 16-bit code a successor. A query
-finds its context by successor search, takes the two pointers around its run, and
-searches for the successor in that run only.
+"""Levels of an n-gram trie in Elias-Fano form, mapped from bytes, with vectorised queries.
+
+A key is a context (HALF bits) and a successor (HALF bits). Contexts ascend; each
+has a run of ascending successors. Three monotone sequences hold them: contexts,
+pointers to where runs begin, and successors relative to their context (run number
+* 2 ** HALF + successor). Values are quantised log10 numbers, one 16-bit code a
+successor. A query finds its context by successor search, takes the two pointers
+around its run, and searches for the successor in that run only.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ import struct
 import numpy as np
 
 U = np.uint64
+#: Bits of a context, and of a successor.
+HALF = 20
+#: Code of a key that is not there.
+NONE = -32768
 #: Codes are value * STEPS, rounded.
 STEPS = 2048
 
@@ -23,16 +27,19 @@ def quantise(value: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(value * STEPS), -32768, 32767).astype(np.int16)
 
 
+#: Set bits of a byte, and the place of the first, second ... of them.
+_COUNT = np.bitwise_count(np.arange(256, dtype=np.uint8))
+_PLACE = np.argsort(~np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool), axis=1, kind="stable").astype(np.uint8)
+
+
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    place = np.zeros(len(word), np.int64)
-    rank = rank.astype(np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        count = np.bitwise_count(word & U((1 << half) - 1)).astype(np.int64)
-        up = rank >= count
-        rank = rank - np.where(up, count, 0)
-        word = np.where(up, word >> U(half), word)
-        place += np.where(up, half, 0)
-    return place
+    parts = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+    until = np.cumsum(_COUNT[parts], axis=1, dtype=np.uint8)
+    rank = rank.astype(np.uint8)
+    at = (until <= rank[:, None]).sum(axis=1)
+    row = np.arange(len(parts))
+    rank = rank - np.where(at > 0, until[row, at - 1], 0).astype(np.uint8)
+    return at * 8 + _PLACE[parts[row, at], rank]
 
 
 class EliasFano:
@@ -49,13 +56,14 @@ class EliasFano:
         values = values.astype(U)
         n = len(values)
         bits = max(0, (universe // max(n, 1)).bit_length() - 1)
-        at = np.arange(n, dtype=np.int64) * bits
         low = np.zeros(-(-n * bits // 64) + 2, U)
-        part = values & U((1 << bits) - 1)
         if bits:
-            np.bitwise_or.at(low, at >> 6, part << (at & 63).astype(U))
-            over = np.flatnonzero((at & 63) + bits > 64)
-            np.bitwise_or.at(low, (at[over] >> 6) + 1, part[over] >> (U(64) - (at[over] & 63).astype(U)))
+            shifts = np.arange(bits, dtype=U)
+            for i in range(0, n, 1 << 16):
+                # whole words: 2 ** 16 values of any number of bits fill them
+                part = ((values[i : i + (1 << 16), None] >> shifts) & U(1)).astype(np.uint8)
+                packed = np.packbits(part.ravel(), bitorder="little")
+                low.view(np.uint8)[i * bits // 8 : i * bits // 8 + len(packed)] = packed
         place = (values >> U(bits)).astype(np.int64) + np.arange(n)
         size = (universe >> bits) + n + 64
         flags = np.zeros(-(-size // 64) * 64, np.uint8)
@@ -69,14 +77,15 @@ class EliasFano:
         return word * 64 + _select_in_word(bits if one else ~bits, i - total[word])
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        high = (self.select(i, True) - i).astype(U)
+        return ((self.select(i, True) - i).astype(U) << U(self.low_bits)) | self._low(i)
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
-            return high
+            return np.zeros(len(i), U)
         at = i * self.low_bits
         word, shift = at >> 6, (at & 63).astype(U)
         over = np.where(shift > 0, np.asarray(self.low[word + 1]) << ((U(64) - shift) & U(63)), U(0))
-        low = ((np.asarray(self.low[word]) >> shift) | over) & U((1 << self.low_bits) - 1)
-        return (high << U(self.low_bits)) | low
+        return ((np.asarray(self.low[word]) >> shift) | over) & U((1 << self.low_bits) - 1)
 
     def find(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Place of each x among the numbers start .. end - 1, or -1: successor search in the numbers of equal high part."""
@@ -85,29 +94,43 @@ class EliasFano:
         hi = self.select(high, False) - high
         if start is not None:
             lo, hi = np.maximum(lo, start), np.minimum(hi, end)
-        limit = hi.copy()
-        while True:
-            live = np.flatnonzero(lo < hi)
-            if not len(live):
-                break
+        # between them high parts are equal, so that low bits decide
+        limit, low = hi.copy(), x & U((1 << self.low_bits) - 1)
+        live = np.flatnonzero(lo < hi)
+        while len(live):
             mid = (lo[live] + hi[live]) >> 1
-            less = self.get(mid) < x[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
+            less = self._low(mid) < low[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
         out = np.full(len(x), -1, np.int64)
         some = np.flatnonzero(lo < limit)
-        hit = some[self.get(lo[some]) == x[some]]
+        hit = some[self._low(lo[some]) == low[some]]
         out[hit] = lo[hit]
         return out
 
-    def parts(self) -> tuple[tuple[int, int, int, int], list[np.ndarray]]:
-        return (self.n, self.low_bits, len(self.low), len(self.high)), [self.low, self.high]
+    def all(self) -> np.ndarray:
+        """All numbers, ascending."""
+        places = np.flatnonzero(np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        i = np.arange(self.n, dtype=np.int64)
+        return ((places - i).astype(U) << U(self.low_bits)) | self._low(i)
+
+    def to_bytes(self) -> bytes:
+        return struct.pack("<4q", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+
+    @classmethod
+    def view(cls, data: np.ndarray, at: int = 0) -> tuple[EliasFano, int]:
+        """The sequence that begins at a byte, without a copy, and where it ends."""
+        n, bits, low, high = struct.unpack("<4q", data[at : at + 32].tobytes())
+        at += 32
+        end = at + 8 * (low + high)
+        return cls(n, bits, data[at : at + 8 * low].view(U), data[at + 8 * low : end].view(U)), end
 
 
 class NgramTrie:
-    """Values of (context, successor) pairs, keys as context << 32 | successor."""
+    """Codes of (context, successor) keys."""
 
-    MAGIC = b"EFT1"
+    MAGIC = b"EFT2\0\0\0\0"
 
     def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
         self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
@@ -115,22 +138,22 @@ class NgramTrie:
     @classmethod
     def build(cls, keys: np.ndarray, codes: np.ndarray) -> NgramTrie:
         """keys: ascending and distinct."""
-        context = keys >> U(32)
+        context = keys >> U(HALF)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, np.int64)
         run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys)))).astype(U)
         return cls(
-            EliasFano.build(context[first], 1 << 32),
+            EliasFano.build(context[first], 1 << HALF),
             EliasFano.build(np.append(first, len(keys)), len(keys) + 1),
-            EliasFano.build((run << U(32)) | (keys & U(0xFFFFFFFF)), max(1, len(first)) << 32),
+            EliasFano.build((run << U(HALF)) | (keys & U((1 << HALF) - 1)), max(1, len(first)) << HALF),
             codes,
         )
 
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Code of each ascending key; -32768 if it isn't there."""
-        out = np.full(len(keys), -32768, np.int16)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each ascending key among all, or -1."""
+        out = np.full(len(keys), -1, np.int64)
         if not len(keys) or not self.contexts.n:
             return out
-        context = keys >> U(32)
+        context = keys >> U(HALF)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         run = self.contexts.find(context[first])
         start, end = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
@@ -139,30 +162,29 @@ class NgramTrie:
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
         ask = np.flatnonzero(run[of] >= 0)
         o = of[ask]
-        at = self.successors.find((run[o].astype(U) << U(32)) | (keys[ask] & U(0xFFFFFFFF)), start[o], end[o])
-        hit = at >= 0
-        out[ask[hit]] = self.codes[at[hit]]
+        out[ask] = self.successors.find((run[o].astype(U) << U(HALF)) | (keys[ask] & U((1 << HALF) - 1)), start[o], end[o])
         return out
 
-    def write(self, path: str) -> None:
-        with open(path, "wb") as f:
-            heads, bodies = zip(*(x.parts() for x in (self.contexts, self.pointers, self.successors)))
-            f.write(self.MAGIC + b"\0" * 4 + struct.pack("<12q", *(v for h in heads for v in h)))
-            for arrays in bodies:
-                for a in arrays:
-                    f.write(a.tobytes())
-            f.write(self.codes.tobytes())
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Code of each ascending key; NONE if it isn't there."""
+        at = self.find(keys)
+        return np.where(at >= 0, self.codes[at] if len(self.codes) else NONE, NONE).astype(np.int16)
+
+    def to_bytes(self) -> bytes:
+        return self.MAGIC + b"".join(x.to_bytes() for x in (self.contexts, self.pointers, self.successors)) + self.codes.astype("<i2").tobytes()
 
     @classmethod
-    def open(cls, path: str) -> NgramTrie:
-        """Maps the levels; nothing is read before it is asked for but the counts of set bits."""
-        data = np.memmap(path, np.uint8, "r")
-        if bytes(data[:4]) != cls.MAGIC:
+    def view(cls, data: np.ndarray) -> NgramTrie:
+        """Maps the levels onto bytes; nothing is copied, and only counts of set bits are computed beforehand."""
+        if data[:8].tobytes() != cls.MAGIC:
             raise ValueError("not a trie")
-        heads = struct.unpack("<12q", bytes(data[8:104]))
-        at, levels = 104, []
-        for i in range(0, 12, 4):
-            n, bits, low, high = heads[i : i + 4]
-            levels.append(EliasFano(n, bits, data[at : at + 8 * low].view(U), data[at + 8 * low : at + 8 * (low + high)].view(U)))
-            at += 8 * (low + high)
-        return cls(*levels, data[at:].view(np.int16))
+        at, levels = 8, []
+        for _ in range(3):
+            level, at = EliasFano.view(data, at)
+            levels.append(level)
+        return cls(*levels, data[at:].view("<i2"))
+
+    @classmethod
+    def open(cls, path: str) -> NgramTrie:
+        """A trie in a file, memory-mapped."""
+        return cls.view(np.memmap(path, np.uint8, "r"))

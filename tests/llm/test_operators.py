@@ -324,34 +324,86 @@ def test_media_round_trip(docs, none):
 
 def test_trie_against_dictionary(tmp_path):
     rng = np.random.default_rng(0)
+    half = np.uint64(ngram_trie.HALF)
     for n in (0, 1, 5, 900):
-        keys = np.unique((rng.integers(0, 50, n).astype(np.uint64) * np.uint64(80000001) << np.uint64(32)) | rng.integers(0, 2**32, n).astype(np.uint64))
+        keys = np.unique((rng.integers(0, 50, n).astype(np.uint64) * np.uint64(20001) << half) | rng.integers(0, 1 << ngram_trie.HALF, n).astype(np.uint64))
         codes = rng.integers(-3000, 3000, len(keys)).astype(np.int16)
-        ngram_trie.NgramTrie.build(keys, codes).write(str(tmp_path / "t"))
-        ask = np.unique(np.concatenate([keys[::2], rng.integers(0, 2**63, 300).astype(np.uint64)]))
+        (tmp_path / "t").write_bytes(ngram_trie.NgramTrie.build(keys, codes).to_bytes())
+        ask = np.unique(np.concatenate([keys[::2], rng.integers(0, 1 << 2 * ngram_trie.HALF, 300).astype(np.uint64)]))
         known = dict(zip(keys.tolist(), codes.tolist()))
-        assert ngram_trie.NgramTrie.open(str(tmp_path / "t")).lookup(ask).tolist() == [known.get(x, -32768) for x in ask.tolist()]
+        assert ngram_trie.NgramTrie.open(str(tmp_path / "t")).lookup(ask).tolist() == [known.get(x, ngram_trie.NONE) for x in ask.tolist()]
+        sequence = ngram_trie.EliasFano.build(keys, 1 << 2 * ngram_trie.HALF)
+        assert sequence.all().tolist() == keys.tolist() == sequence.get(np.arange(len(keys))).tolist()
 
 
-def test_lm_scores(docs, none, monkeypatch):
-    assert lm.score(none).count() == 0
-    rows = docs.collect()
-    lists = [[*word_list(low(r.text)), None] for r in rows]
-    one, two, starts = collections.Counter(), collections.Counter(), 0
-    for r, w in zip(rows, lists):
-        if not lm.held_out(r.doc_id):
-            one.update(w)
-            two.update(zip(["<s>", *w[:-1]], w))
+def kept_out(doc_id):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 1
+
+
+def brute_scores(trained, scored):
+    """(id, held out, tokens, known, N, base, score) of a trigram model by dictionaries of words."""
+    tokens_of = lambda t: [*word_list(low(t)), None]
+    grams, starts = [collections.Counter() for _ in range(3)], 0
+    for i, t in trained:
+        if not kept_out(i):
+            w = ["<s>", "<s>", *tokens_of(t)]
             starts += 1
-    n, v = sum(one.values()), len(one)
-    p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
-    want = sorted((r.doc_id is not None, r.doc_id or 0, len(w), sum(one[x] > 0 for x in w), sum(math.log10(p(x)) for x in w),
-                   sum(math.log10((two[(a, b)] + lm.MU * p(b)) / ((starts if a == "<s>" else one[a]) + lm.MU)) for a, b in zip(["<s>", *w[:-1]], w))) for r, w in zip(rows, lists))
-    for size in (lm.SLICE, 300):
-        monkeypatch.setattr(lm, "SLICE", size)
-        got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(docs).collect())
-        for a, b in zip(got, want):
-            assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-6 * max(1, abs(b[4])) and abs(a[5] - b[5]) <= 0.001 * b[2]
+            for n in range(3):
+                grams[n].update(tuple(w[k - n : k + 1]) for k in range(2, len(w)))
+    total, distinct = sum(grams[0].values()), len(grams[0])
+    # what stands before a token has its own count, and starts that of the texts
+    context = lambda c: starts if set(c) == {"<s>"} else grams[len(c) - 1][c]
+    out = []
+    for i, t in scored:
+        w, base, score, known = ["<s>", "<s>", *tokens_of(t)], 0.0, 0.0, 0
+        for k in range(2, len(w)):
+            p = (grams[0][(w[k],)] + 0.5) / (total + 0.5 * (distinct + 1))
+            base, known = base + math.log10(p), known + (grams[0][(w[k],)] > 0)
+            for n in (1, 2):
+                p = (grams[n][tuple(w[k - n : k + 1])] + lm.M[n + 1] * p) / (context(tuple(w[k - n : k])) + lm.M[n + 1])
+            score += math.log10(p)
+        out.append((i, kept_out(i), len(w) - 2, known, total, base, score))
+    return sorted(out, key=lambda r: (r[0] is not None, str(r[0]), r[2], r[6]))
+
+
+def check_scores(df, want):
+    got = sorted((tuple(r) for r in df.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=lambda r: (r[0] is not None, str(r[0]), r[2], r[6]))
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 * max(1, abs(b[5])) and abs(a[6] - b[6]) <= 0.001 * b[2]
+
+
+def test_lm_scores(docs, none, spark, monkeypatch):
+    assert lm.score(none).count() == 0
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_scores(rows, rows)
+    check_scores(lm.score(docs), want)
+    # small chunks and many shards; ids of other types; texts that repeat in chunks of their own
+    monkeypatch.setattr(lm, "CHUNK", 2000)
+    monkeypatch.setattr(lm, "SHARD", 30_000)
+    check_scores(lm.score(docs.repartition(3)), brute_scores(rows, rows))
+    for kind in ("smallint", "string", "decimal(9,0)"):
+        typed = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+        check_scores(lm.score(typed), brute_scores(rows, [(None if i is None else typed.schema["doc_id"].dataType.typeName() == "string" and str(i) or i, t) for i, t in rows]))
+    # a stored model scores other documents
+    model = lm.train(docs)
+    other = [(5000, BASE + " unseen words here"), (5001, None), (5002, LONG[:500])]
+    check_scores(lm.score(spark.createDataFrame(other, "doc_id long, text string"), model), brute_scores(rows, other))
+    held = [r for r in rows if kept_out(r[0])]
+    check_scores(lm.score(docs.filter(lm.held_out("doc_id"))), brute_scores(held, held))
+
+
+def test_lm_counts_beyond_32_bits():
+    keys = np.array([3, 9], np.uint64)
+    big = lm._coded(keys, np.array([2**33, 1]))
+    assert [x.tolist() for x in lm._decoded(pa.py_buffer(big))] == [[3, 9], [2**33, 1]]
+    tries = list(lm._tries(1)([pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int64()), pa.array([big, big], pa.binary())], names=["sid", "data"])]))
+    assert np.frombuffer(tries[0].column("counts")[0].as_py(), "<i8").tolist() == [2**34, 2] and tries[0].column("total")[0].as_py() == 2**34 + 2
+    answer = lm._answer(1)([
+        pa.RecordBatch.from_arrays([tries[0].column("sid"), pa.nulls(1, pa.int64()), tries[0].column("trie"), tries[0].column("counts")], names=["sid", "chunk", "data", "counts"]),
+        pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([7], pa.int64()), pa.array([lm._coded(np.array([3, 4], np.uint64))], pa.binary()), pa.nulls(1, pa.binary())], names=["sid", "chunk", "data", "counts"]),
+    ])
+    assert [np.frombuffer(r.column("data")[0].as_py(), "<i8").tolist() for r in answer] == [[2**34, 0]]
 
 
 def test_words_and_shingles():
