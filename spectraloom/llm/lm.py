@@ -212,7 +212,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(-(-tasks // ORDER), -(-(size or 0) // TOKEN_BYTES // SHARD), 1)
     found = docs.select("text", "held_out").mapInArrow(_count(shards, CHUNK), "sid bigint, data binary")
-    dealt = found.repartition(max(tasks, ORDER * shards), "sid").sortWithinPartitions("sid")
+    dealt = found.repartitionById(max(tasks, ORDER * shards), F.col("sid").cast("int")).sortWithinPartitions("sid")
     table = materialize(dealt.mapInArrow(_tries(shards), "sid bigint, trie binary, counts binary, distinct bigint, total bigint"), "lm-model")
     total, distinct = table.filter(F.col("sid") < shards).agg(F.sum("total"), F.sum("distinct")).first()
     return Model(table, shards, total or 0, distinct or 0, starts)
@@ -366,7 +366,7 @@ def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", t
     # the same columns as below, so that batches and chunks are the same
     asked = docs.mapInArrow(_ask(shards, CHUNK), "sid bigint, chunk bigint, data binary, counts binary")
     tries = model.table.select("sid", F.lit(None).cast("long").alias("chunk"), F.col("trie").alias("data"), "counts")
-    met = tries.unionByName(asked).repartition(tasks, "sid").sortWithinPartitions("sid", F.col("chunk").asc_nulls_first())
+    met = tries.unionByName(asked).repartitionById(tasks, F.col("sid").cast("int")).sortWithinPartitions("sid", F.col("chunk").asc_nulls_first())
     answers = materialize(met.mapInArrow(_answer(shards), "chunk bigint, sid bigint, data binary"), "lm-answers")
     lists = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType()))])
     shipped = docs.mapInArrow(_ship(kind, CHUNK), lists)

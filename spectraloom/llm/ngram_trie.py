@@ -50,6 +50,7 @@ class EliasFano:
         ones = np.bitwise_count(high).astype(np.int64)
         self.ones = np.concatenate([[0], np.cumsum(ones)])
         self.zeros = np.arange(len(high) + 1, dtype=np.int64) * 64 - self.ones
+        self._places: dict[bool, np.ndarray] = {}
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -70,7 +71,17 @@ class EliasFano:
         flags[place] = 1
         return cls(n, bits, low, np.packbits(flags, bitorder="little").view(U))
 
+    def _directory(self, one: bool) -> np.ndarray:
+        """Places of all ones or zeros of the high parts."""
+        if one not in self._places:
+            bits = np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little")
+            self._places[one] = np.flatnonzero(bits if one else bits == 0)
+        return self._places[one]
+
     def select(self, i: np.ndarray, one: bool) -> np.ndarray:
+        """Where the i-th one or zero of the high parts is; many at once pay for a directory."""
+        if len(i) * 16 > len(self.high) * 64 or one in self._places:
+            return self._directory(one)[i]
         total = self.ones if one else self.zeros
         word = np.searchsorted(total, i, side="right") - 1
         bits = np.asarray(self.high[word])
@@ -111,7 +122,7 @@ class EliasFano:
 
     def all(self) -> np.ndarray:
         """All numbers, ascending."""
-        places = np.flatnonzero(np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        places = self._directory(True)[: self.n]
         i = np.arange(self.n, dtype=np.int64)
         return ((places - i).astype(U) << U(self.low_bits)) | self._low(i)
 

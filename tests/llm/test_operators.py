@@ -223,10 +223,10 @@ def test_signatures_share_one_for_similar_sets():
 
 def test_html_blocks():
     page = '<body><header><h1>S</h1></header><div class="cookie-notice">x</div><div id="c"><p>a&amp;b  c<p>d <b>e</b>f<br>g</div><ul class="nav"><li>z</ul><div class="comments"><p>no</div><script>"</p>"</script>tail'
-    assert html_text.Page(page).text(frozenset(), frozenset()) == "a&b c\nd ef\ng\ntail"
+    assert html_text.Page(page).text() == "a&b c\nd ef g\ntail"
     for broken in (None, "", "<", "<p", "<script>x", "<!-- x", "</div></p>", "a < b <1>"):
-        html_text.Page(broken).text(frozenset(), frozenset())
-    assert html_text.Page("<nav>m</nav><main><p>x</p><aside>n</aside></main><p>y</p>").text(frozenset(), frozenset()) == "x"
+        html_text.Page(broken).text()
+    assert html_text.Page("<nav>m</nav><main><p>x</p><aside>n</aside></main><p>y</p>").text() == "x"
 
 
 def test_html_style_tree_cuts_what_repeats(spark):
