@@ -12,24 +12,28 @@ one. Its likeness to another is the share of equal bins among those that are not
 empty in both; two fingerprints without any bin are alike (1.0).
 
 Defined results: null and empty texts have the fingerprint of no k-mers; a text
-of fewer than k words has one k-mer, all of it. Texts may have up to 2 ** 26 words.
+of fewer than k words has one k-mer, all of it; any text that Spark can hold (2 ** 31
+words at most). Ids may be of any type that can be ordered, null ids come first, and
+rows of one id follow each other by the hash of their text; an empty table gives an
+empty result; other columns than id and text are not looked at.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, documents
 
-#: Bits of a packed selection key: bin, hash, position.
-BIN_BITS, HASH_BITS, PLACE_BITS = 6, 31, 26
+#: Bits of a packed selection key: bin, hash, position. An array has fewer than 2 ** 31 members.
+BIN_BITS, HASH_BITS, PLACE_BITS = 6, 26, 31
 BINS = 1 << BIN_BITS
 EMPTY = "...."
 #: Repeated k-mers of a text that are counted one by one.
 FEW = 32
-#: Ranges of ids that are counted to cut the ids into pieces of even row counts.
-FINE = 65_536
+#: Ranges of ids of about equal row counts, and rows and number of the pieces into which they are cut.
+RANGES, PIECE, PIECES = 256, 2000, 200_000
 
 
 def _long(x: int) -> Column:
@@ -38,8 +42,10 @@ def _long(x: int) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, name: str, k: int = 3, select: int = 2) -> DataFrame:
     """df and the fingerprint of a text column."""
-    t = "_omh_"
     own = df.columns
+    t = "_omh_"
+    while any(c.startswith(t) for c in own):
+        t = "_" + t
     df = df.withColumn(t + "w", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda x: x != ""))
     w = F.col(t + "w")
     last = F.greatest(F.size(w) - k + 1, F.least(F.size(w), F.lit(1)))
@@ -98,50 +104,79 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(equal / used)
 
 
-def with_next(df: DataFrame, order: str, columns: dict[str, str], ties: list[str], rows_per_piece: int = 2000) -> DataFrame:
-    """df and, for each row, columns of the row that follows by `order` (nulls first), after the last those of the first.
+def _ranges(ids: DataFrame, rows: int) -> tuple[Column, Column]:
+    """(range, piece in it) of an id and its hash (columns id, h), from RANGES ranges of about equal row counts.
 
-    No task sorts the whole table: the ids are cut into pieces of about
-    rows_per_piece rows, from counts over at most FINE ranges of ids; the first row
-    of each piece is also sent to the piece before it. Rows of one id are never
-    split; ties are in the order of the columns named.
+    Ranges come from Spark's sample of the ids alone; what they hold is counted. A range
+    of many rows is cut by even steps of its ids, or of the hash if it has one id only.
     """
-    key = F.col(order)
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        fine = F.lit(0).cast("long")
+    kind = ids.schema["id"].dataType
+    found = ids.filter("id IS NOT NULL").repartitionByRange(RANGES, "id").groupBy(F.spark_partition_id().alias("p"))
+    found = sorted(found.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["p"])
+    size = max(PIECE, -(-rows // PIECES))
+    row = [(None, None, rows - sum(r["n"] for r in found)), *[(r["low"], r["high"], r["n"]) for r in found]]
+    lows = F.array(*[F.lit(x[0]).cast(kind) for x in row[1:]]) if found else F.array().cast(f"array<{kind.simpleString()}>")
+    steps = F.lit(0)
+    bits = max(1, len(found).bit_length())
+    # binary search: the number of ranges that begin at or before the id
+    for k in reversed(range(bits)):
+        there = F.get(lows, steps + (1 << k) - 1)
+        steps = steps + F.when(there.isNotNull() & (there <= F.col("id")), 1 << k).otherwise(0)
+    at = F.when(F.col("id").isNull(), 0).otherwise(F.greatest(steps, F.lit(1)))
+    number = lambda values, t: F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{t}>"), F.col("range"))
+    parts = number([max(1, -(-x[2] // size)) for x in row], "double")
+    share = F.shiftrightunsigned("h", 1) / F.lit(2.0**63)
+    if not isinstance(kind, (T.StringType, T.BinaryType, T.BooleanType)):
+        numeric = "long" if isinstance(kind, T.DateType) else "double"
+        as_number = lambda c: (F.unix_date(c) if numeric == "long" else c.cast("double")).cast("double")
+        edges = [number([x[i] for x in row], kind.simpleString()) for i in (0, 1)]
+        low, high = (as_number(e) for e in edges)
+        share = F.when(edges[0] == edges[1], share).when(low.isNotNull(), F.try_divide(as_number(F.col("id")) - low, high - low)).otherwise(share)
     else:
-        width = max(1, -(-(high - low + 1) // FINE))
-        fine = F.coalesce(F.floor((key - F.lit(low)) / F.lit(width)).cast("long") + 1, F.lit(0).cast("long"))
-    counts = df.groupBy(fine.alias("_fine")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_fine")
-    cells = counts.select("_fine", F.floor((F.sum("_n").over(w) - F.col("_n")) / rows_per_piece).cast("long").alias("_run"))
-    # pieces numbered without gaps, at most FINE + 1 of them
-    pieces = cells.select("_fine", (F.dense_rank().over(Window.orderBy("_run")) - 1).cast("long").alias("_piece"))
-    pieces = pieces.withColumn("_pieces", F.max("_piece").over(Window.partitionBy()) + 1)
-    dealt = df.withColumn("_fine", fine).join(F.broadcast(pieces), "_fine").drop("_fine").withColumn("_sent", F.lit(0))
-    firsts = df.select(order).withColumn("_fine", fine).join(F.broadcast(pieces), "_fine").groupBy("_piece", "_pieces").agg(F.min(key).alias("_first"), F.count_if(key.isNull()).alias("_nulls"))
-    firsts = firsts.withColumn("_first", F.when(F.col("_nulls") > 0, F.lit(None)).otherwise(F.col("_first"))).drop("_nulls")
-    heads = df.join(F.broadcast(firsts), key.eqNullSafe(F.col("_first"))).drop("_first")
-    one = Window.partitionBy("_piece").orderBy(*ties)
-    heads = heads.withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i")
-    heads = heads.withColumn("_piece", F.pmod(F.col("_piece") - 1, F.col("_pieces"))).withColumn("_sent", F.lit(1))
-    both = dealt.unionByName(heads)
-    run = Window.partitionBy("_piece").orderBy(F.col("_sent"), key.asc_nulls_first(), *ties)
-    for name, column in columns.items():
-        both = both.withColumn(name, F.lead(column).over(run))
-    return both.filter("_sent = 0").drop("_sent", "_piece", "_pieces")
-
-
-def fingerprints(docs: DataFrame, k: int = 3, select: int = 2) -> DataFrame:
-    """(doc_id, text) -> texts edited by the next text's start, both fingerprints and their likeness."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = with_fingerprint(base, "text", "fingerprint", k, select)
-    full = with_next(base, "doc_id", {"_next": "text", "next_fingerprint": "fingerprint"}, ["text"])
+        one = number([x[0] == x[1] for x in row], "boolean")
+        share = F.when(one, share).otherwise(F.lit(0.0))
+    part = F.least(F.floor(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * parts), parts - 1).cast("long")
+    return at, part
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """(id, text) -> id, text, _next: the text that follows by id, after the last that of the first; with _piece, _sent and _h.
+
+    No task sorts the whole table: ids are cut into pieces of about PIECE rows, PIECES of
+    them at most; the first row of each piece is also sent, as _sent = 1, to the end of the
+    piece before it.
+    """
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    slim = docs.select("id", "h")
+    at, part = _ranges(docs.select("id"), docs.count())
+    placed = lambda df: df.withColumn("range", at).withColumn("piece", F.col("range") * F.lit(1 << 32) + part).drop("range")
+    firsts = placed(slim).groupBy("piece").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "h")).alias("f"))
+    # one row a piece
+    ring = Window.orderBy("piece")
+    every = Window.partitionBy()
+    firsts = firsts.withColumn("to", F.coalesce(F.lag("piece").over(ring), F.max("piece").over(every))).select(F.col("piece").alias("of"), "to", F.col("f.id").alias("first"), F.col("f.h").alias("first_h"))
+    dealt = placed(docs)
+    heads = dealt.join(F.broadcast(firsts), (F.col("piece") == F.col("of")) & F.col("id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h")))
+    heads = heads.withColumn("i", F.row_number().over(Window.partitionBy("of").orderBy("text"))).filter("i = 1").select("id", "text", "h", F.col("to").alias("piece"), F.lit(1).alias("sent"))
+    both = dealt.withColumn("sent", F.lit(0)).unionByName(heads)
+    return both.withColumn("next", F.lead("text").over(_run()))
+
+
+def _run():
+    """Rows of a piece, the one sent by the next piece last."""
+    return Window.partitionBy("piece").orderBy("sent", F.col("id").asc_nulls_first(), "h", "text")
+
+
+def fingerprints(docs: DataFrame, k: int = 3, select: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text, n_chars, edited (the text edited by the next one's start), fingerprint, edited_fingerprint, next_fingerprint. Each text is fingerprinted once, where its piece is sorted."""
+    full = with_next(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    full = with_fingerprint(full, "text", "fingerprint", k, select)
+    full = full.withColumn("next_fingerprint", F.lead("fingerprint").over(_run())).filter("sent = 0")
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    full = full.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("_next"), F.lit(1), cut)))
-    return with_fingerprint(full.drop("_next"), "edited", "edited_fingerprint", k, select)
+    full = full.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut)))
+    full = with_fingerprint(full, "edited", "edited_fingerprint", k, select)
+    return full.select(F.col("id").alias(id_col), "text", "n_chars", "edited", "fingerprint", "edited_fingerprint", "next_fingerprint")
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

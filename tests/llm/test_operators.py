@@ -274,6 +274,43 @@ def test_mixing_targets(docs, none, spark):
 
 
 
+def brute_fingerprint(text, k=3, select=2):
+    """Order MinHash by lists: the hash is Spark's, given as a table."""
+    w = word_list(text)
+    kmers = [tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, min(1, len(w))))]
+    seen, numbered = collections.Counter(), []
+    for x in kmers:
+        numbered.append((x, seen[x]))
+        seen[x] += 1
+    return kmers, numbered
+
+
+def test_order_minhash_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(list("abcde"), n))) for i, n in enumerate([0, 1, 2, 3, 4, 9, 30, 120, 400])] + [(50, BASE), (51, " ".join(BASE.split()[::-1])), (52, "a b c " * 60)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.f for r in order_minhash.with_fingerprint(df, "text", "f").collect()}
+    # hashes of all k-mers, of k-mers with their number, and of tuples, from Spark itself
+    every = sorted({x for _, t in rows for x in brute_fingerprint(t)[1]})
+    table = spark.createDataFrame([(list(x), n) for x, n in every], "x array<string>, n int")
+    kmer = F.xxhash64(*[F.get("x", F.lit(j)) for j in range(3)])
+    hashed = {(tuple(r.x), r.n): r.h & (2**64 - 1) for r in table.select("x", "n", F.xxhash64(kmer, "n").alias("h")).collect()}
+    bins, rest = order_minhash.BIN_BITS, order_minhash.HASH_BITS
+    picked = {}
+    for i, text in rows:
+        cells = collections.defaultdict(list)
+        for place, x in enumerate(brute_fingerprint(text)[1]):
+            top = hashed[x] >> (64 - bins - rest)
+            cells[top >> rest].append((top & ((1 << rest) - 1), place))
+        for cell, found in cells.items():
+            two = [h for _, h in sorted((place, h) for h, place in sorted(found)[:2])]
+            picked[i, cell] = (two + [None])[:2]
+    tuples = spark.createDataFrame([(i, c, *t) for (i, c), t in picked.items()], "i long, c int, a long, b long")
+    digits = {(r.i, r.c): f"{r.h & 0xFFFF:04x}" for r in tuples.select("i", "c", F.xxhash64("a", "b").alias("h")).collect()}
+    for i, _ in rows:
+        assert got[i] == "".join(digits.get((i, c), "....") for c in range(order_minhash.BINS))
+
+
 def test_order_minhash(docs, none, spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(rng.choice(list("abcdefgh"), n))) for i, n in enumerate([0, 1, 2, 3, 5, 10, 60, 200, 500])]
@@ -285,16 +322,48 @@ def test_order_minhash(docs, none, spark, monkeypatch):
     assert prints[0] == prints[1] == prints[2] and all(len(x) == 256 for x in prints[0].values())
     assert prints[0][0] == "." * 256
     monkeypatch.undo()
-    ids = [(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None and r.doc_id not in (0, 10)]
-    full = order_minhash.fingerprints(docs.filter("doc_id NOT IN (0, 10)")).collect()
-    after = dict(zip([i for i, _ in sorted(ids)], [*[t for _, t in sorted(ids)][1:], sorted(ids)[0][1]]))
-    for r in full:
-        cut = len(r.text) // 4
-        assert r.edited == r.text[: len(r.text) - cut] + after[r.doc_id][:cut]
     assert order_minhash.fingerprints(none).count() == 0 and order_minhash.fingerprints(docs).count() == docs.count()
-    pair = spark.createDataFrame([(BASE, BASE), ("a b c d e f", "f e d c b a")], "a string, b string")
+    pair = spark.createDataFrame([(BASE, BASE, 1), ("a b c d e f", "f e d c b a", 2)], "a string, b string, _omh_w int")
     pair = order_minhash.with_fingerprint(order_minhash.with_fingerprint(pair, "a", "x"), "b", "y")
-    assert [r.n for r in pair.select(order_minhash.likeness(F.col("x"), F.col("y")).alias("n")).collect()] == [1.0, 0.0]
+    assert [r.n for r in pair.select(order_minhash.likeness(F.col("x"), F.col("y")).alias("n")).collect()] == [1.0, 0.0] and "_omh_w" in pair.columns
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "date"])
+def test_order_minhash_next_texts(spark, monkeypatch, kind):
+    monkeypatch.setattr(order_minhash, "PIECE", 4)
+    monkeypatch.setattr(order_minhash, "RANGES", 6)
+    # one id far from the others, one that repeats, and none at all
+    ids = [*range(0, 60, 2), 2_000_000, 7, 7, 7, None, None]
+    rows = [(i, f"text {i} {j} é" * (j % 4 + 1), "p", 1) for j, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "n long, text string, piece string, sent int")
+    as_id = F.date_from_unix_date((F.col("n") % 100_000).cast("int")) if kind == "date" else F.col("n").cast(kind)
+    df = df.withColumn("doc_id", as_id)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(((r.doc_id is not None, r.doc_id if r.doc_id is not None else 0, hashes[r.text], r.text) for r in df.collect()), key=lambda r: (r[0], r[1] if r[0] else 0, r[2]))
+    texts = [r[3] for r in ordered]
+    want = {}
+    for t, n in zip(texts, [*texts[1:], texts[0]]):
+        cut = len(t) // 4
+        want[t] = (t[: len(t) - cut] + n[:cut], n)
+    out = order_minhash.fingerprints(df).collect()
+    own = {r.text: r.fingerprint for r in out}
+    assert len(out) == len(rows) and {r.text: (r.edited, r.next_fingerprint) for r in out} == {t: (e, own[n]) for t, (e, n) in want.items()}
+
+
+def test_order_minhash_query_columns(spark, tmp_path):
+    rows = [(3, BASE), (1, None), (2, BASE + " end"), (9, "é" * 10)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in order_minhash.op8_order_minhash(spark, str(tmp_path)).collect()}
+    texts = {i: t or "" for i, t in rows}
+    after = {1: 2, 2: 3, 3: 9, 9: 1}
+    for i, t in texts.items():
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + texts[after[i]][:cut]
+        r = out[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        cells = lambda x: [x[j : j + 4] for j in range(0, 256, 4)]
+        used = [(a, b) for a, b in zip(cells(r.fingerprint), cells(out[after[i]].fingerprint)) if (a, b) != ("....", "....")]
+        assert r.near_next == (sum(a == b for a, b in used) / len(used) if used else 1.0)
 
 
 def test_media_formats_and_resize():
