@@ -38,8 +38,8 @@ U = np.uint64
 BROADCAST_KEYS = 2_000_000
 #: Members of a group that are compared at once; larger groups are cut into blocks.
 BLOCK = 2048
-#: Rows of groups with one leader that are compared in one task.
-TOGETHER = 100_000
+#: Group keys and pairs that a task remembers in order not to send them again; beyond, it forgets.
+REMEMBER = 1_000_000
 #: Rows after which a group of equal signatures is passed on in parts.
 RUN = 1 << 16
 
@@ -97,16 +97,30 @@ def signatures(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nda
     return np.concatenate([s[k] for s, _, k in out]), np.concatenate([r[k] for _, r, k in out])
 
 
-def nodes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+def nodes(values: np.ndarray, at: np.ndarray, seed: int = 0x8CB92BA72F3D8DD7) -> np.ndarray:
     """One hash per set, equal for equal sets; 0 for empty ones."""
     size = np.diff(at)
     out = np.zeros(len(size), U)
     some = np.flatnonzero(size)
     if len(some):
-        out[some] = W.mix(np.add.reduceat(W.mix(values ^ U(0x8CB92BA72F3D8DD7)), at[some]) + size[some].astype(U))
+        out[some] = W.mix(np.add.reduceat(W.mix(values ^ U(seed)), at[some]) + size[some].astype(U))
     return out.view(np.int64)
 
 
+def checks(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A second hash per set, independent of the first."""
+    return nodes(values, at, 0xD1B54A32D192ED03)
+
+
+def named(values: np.ndarray, at: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Nodes; of those that different sets share, by both hashes."""
+    out = nodes(values, at)
+    if len(shared):
+        hit = np.isin(out, shared)
+        out = np.where(hit, W.mix(out.view(U) * U(3) ^ checks(values, at).view(U)).view(np.int64), out)
+    return out
+
+
 def bitmaps(values: np.ndarray, at: np.ndarray) -> list[bytes]:
     """Parity bitmaps: a bit tells whether an odd number of elements fall on it. Sets differ in at least as many elements as bits; about two to four bits an element, by band."""
     size = np.diff(at)
@@ -147,31 +161,33 @@ def text_key(text="text"):
     return F.xxhash64(text)
 
 
-def profile(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, key, n_shingles, node, bitmap); key is the hash of the text."""
+def profile(docs: DataFrame, n: int, shared: np.ndarray) -> DataFrame:
+    """(doc_id, text) -> (doc_id, key, n_shingles, node, check, bitmap); key is the hash of the text."""
 
     def run(batches):
         for batch in batches:
             for row, values, at in _sets(batch, n):
                 rows = len(at) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(row, rows) for c in ("doc_id", "key")], pa.array(np.diff(at), pa.int64()), pa.array(nodes(values, at), pa.int64()), pa.array(bitmaps(values, at), pa.binary())],
-                    names=["doc_id", "key", "n_shingles", "node", "bitmap"],
+                    [*[batch.column(c).slice(row, rows) for c in ("doc_id", "key")], pa.array(np.diff(at), pa.int64()), pa.array(named(values, at, shared), pa.int64()), pa.array(checks(values, at), pa.int64()), pa.array(bitmaps(values, at), pa.binary())],
+                    names=["doc_id", "key", "n_shingles", "node", "check", "bitmap"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key bigint, n_shingles bigint, node bigint, bitmap binary")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key bigint, n_shingles bigint, node bigint, check bigint, bitmap binary")
 
 
-def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def signed(docs: DataFrame, n: int, percent: int, shared: np.ndarray) -> DataFrame:
     """(text) -> (sig, node), once for equal sets of a task."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, values, at in _sets(batch, n):
-                node = nodes(values, at)
+                node = named(values, at, shared)
                 fresh = np.zeros(len(node), bool)
+                if len(seen) > REMEMBER:
+                    seen.clear()
                 for r, x in enumerate(node.tolist()):
                     if at[r + 1] > at[r] and x not in seen:
                         seen.add(x)
@@ -206,6 +222,8 @@ def _group_runs(batches):
         many = np.flatnonzero(size > 1)
         _, pick = np.unique(key[many], return_index=True)
         many = [g for g in many[pick] if int(key[g]) not in seen]
+        if len(seen) > REMEMBER:
+            seen.clear()
         seen.update(int(key[g]) for g in many)
         if not len(many):
             return None
@@ -292,6 +310,8 @@ def _open_pairs(percent: int, nearest: bool):
             node, comp, size, side = (np.concatenate(x) for x in zip(*[h[:4] for h in held]))
             if len(node) > 1 and (comp != comp[0]).any():
                 a, b = compare(node, comp, size, [m for h in held for m in h[4].to_pylist()], side)
+                if len(told) > REMEMBER:
+                    told.clear()
                 new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if not (p in told or told.add(p))]
                 if new:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new)], names=["a", "b"])
@@ -318,14 +338,14 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def node_sets(docs: DataFrame, wanted: DataFrame, n: int, shared: np.ndarray) -> DataFrame:
     """(node, shingles) of the wanted (doc_id, key, node): by the id, or where it is null by the text's hash."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for row, values, at in _sets(batch, n):
-                node = nodes(values, at)
+                node = named(values, at, shared)
                 want = batch.column("node").slice(row, len(node)).to_numpy(zero_copy_only=False)
                 keep = [r for r in np.flatnonzero(node == want).tolist() if not (int(node[r]) in seen or seen.add(int(node[r])))]
                 if keep:
@@ -344,11 +364,11 @@ def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def _sets_of(pairs: DataFrame, seen: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+def _sets_of(pairs: DataFrame, seen: DataFrame, docs: DataFrame, n: int, shared: np.ndarray) -> DataFrame:
     """Written (node, shingles) of the nodes in pairs, from the first document that has each."""
     members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     owners = seen.filter("n_shingles > 0").join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
-    return materialize(node_sets(docs, materialize(owners.select("doc_id", "key", "node"), "set-owners"), n), "sets")
+    return materialize(node_sets(docs, materialize(owners.select("doc_id", "key", "node"), "set-owners"), n, shared), "sets")
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -380,27 +400,31 @@ def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 def _unsettled(groups: DataFrame, comps: DataFrame, facts: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Possible pairs (a, b) in groups whose members lie in several components. Groups of more than BLOCK members are dealt out by pairs of blocks."""
     placed = groups.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_groups = placed.groupBy("gkey").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count(F.lit(1)).alias("_c"), F.min("leader").alias("_f")).filter("_l != _h")
-    # groups with one leader have many members in common: they go together, up to TOGETHER rows, so that a pair is met in few tasks
-    family = open_groups.groupBy("_f").agg(F.ceil(F.sum("_c") / TOGETHER).alias("_t"))
-    open_groups = open_groups.join(family, "_f").withColumn("_t", F.pmod("gkey", "_t"))
+    open_groups = placed.groupBy("gkey").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count(F.lit(1)).alias("_c")).filter("_l != _h")
     blocks = F.ceil(F.col("_c") / BLOCK).cast("int")
     dealt = (
-        placed.drop("leader").join(open_groups, "gkey").withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+        placed.select("gkey", "node", "component").join(open_groups, "gkey").withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
         .withColumn("block", F.least("_i", "_j") * F.col("_k") + F.greatest("_i", "_j"))
         # in a block of pairs of two blocks, only rows of different sides are compared
         .withColumn("side", F.when(F.pmod("block", F.col("_k")) == F.floor(F.col("block") / F.col("_k")), F.lit(-1)).otherwise(F.col("_i")))
         .join(facts, "node")
-        .select("_f", "_t", "gkey", "block", "node", "component", "n_shingles", "bitmap", "side")
+        .select("gkey", "block", "node", "component", "n_shingles", "bitmap", "side")
     )
-    return dealt.repartition("_f", "_t", "block").sortWithinPartitions("gkey", "block").drop("_f", "_t").mapInArrow(_open_pairs(percent, nearest), "a bigint, b bigint").distinct()
+    # a key has two blocks at most, however large its group is
+    return dealt.repartition("gkey", "block").sortWithinPartitions("gkey", "block").mapInArrow(_open_pairs(percent, nearest), "a bigint, b bigint").distinct()
 
 
 def placed_rows(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, text) -> one row per input row: doc_id, key, n_shingles, _c (the component's node, null without shingles)."""
-    seen = materialize(profile(docs, n), "shingle-sets")
-    rows = signed(docs, n, percent)
+    twins = np.empty(0, np.int64)
+    seen = materialize(profile(docs, n, twins), "shingle-sets")
+    # a few in 10 ** 10 sets have the 64 bits of another one: these are named by 128
+    found = seen.groupBy("node").agg((F.min("check") != F.max("check")).alias("_d")).filter("_d").select("node").toArrow()
+    if found.num_rows:
+        twins = np.sort(found["node"].to_numpy())
+        seen = materialize(profile(docs, n, twins), "shingle-sets")
+    rows = signed(docs, n, percent, twins)
     grouped = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_group_runs, "gkey bigint, leader bigint, node bigint, size bigint")
     groups = materialize(grouped.dropDuplicates(["gkey", "node"]), "signature-groups")
     members = groups.select("node").distinct()
@@ -412,7 +436,7 @@ def placed_rows(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     shared = groups.select("gkey", "node").join(hubs, "gkey").filter("node != leader").groupBy("leader", "node").agg(F.count(F.lit(1)).alias("_n"))
     stars = shared.groupBy("node").agg(F.max_by("leader", F.struct("_n", "leader")).alias("leader"))
     tried = materialize(_possible(stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), facts, percent), "pairs")
-    edges = materialize(links(tried, _sets_of(tried, seen, docs, n), percent), "links")
+    edges = materialize(links(tried, _sets_of(tried, seen, docs, n, twins), percent), "links")
     whole = materialize(connected_components(edges), "components")
     for nearest in (True, False):
         rest = _unsettled(groups, whole, facts, percent, nearest).join(tried, ["a", "b"], "left_anti")
@@ -420,7 +444,7 @@ def placed_rows(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         if rest.isEmpty():
             continue
         tried = tried.unionByName(rest)
-        more = materialize(links(rest, _sets_of(rest, seen, docs, n), percent), "links")
+        more = materialize(links(rest, _sets_of(rest, seen, docs, n, twins), percent), "links")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             whole = materialize(connected_components(edges), "components")

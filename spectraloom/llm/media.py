@@ -4,8 +4,10 @@ Decoders return (rows, columns, channels) arrays of 8-bit samples. Resizing aver
 areas exactly, from integral images in 64-bit integers. Tiles are NPY files in a
 binary column.
 
-Defined results: a null text is the empty one; null media give null tiles and
-features; what is not a whole image of a known kind raises ValueError.
+Defined results: a null text is the empty one; null media give null tiles and hashes;
+what is not a whole image of a known kind gives these and the reason as error (the
+decoders alone raise ValueError); an empty table gives an empty result; rows with one
+id are stored one by one. Images are worked on a few at a time, by their bytes.
 """
 
 from __future__ import annotations
@@ -17,15 +19,28 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, materialize
 
 #: Bytes of a row of a stored image: 64 pixels of three samples.
 ROW = 192
-#: Texts that are held as images at once.
-ROWS = 512
+#: Bytes of texts or images that are worked on at once; a larger one is a batch of its own.
+TOGETHER = 16 << 20
+
+
+def batches_of(batches, column: str):
+    """Batches cut so that a column has about TOGETHER bytes in each."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        row = 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + TOGETHER, side="right")))
+            yield batch.slice(row, end - row)
+            row = end
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
@@ -148,21 +163,28 @@ def to_npy(pixels: np.ndarray) -> bytes:
 
 
 def tile_columns(df: DataFrame, media_col: str = "media", height: int = 16, width: int = 16) -> DataFrame:
-    """df and tile (NPY bytes), dhash, and the image's height and width."""
-    import pandas as pd
+    """df and tile (NPY bytes), dhash, the image's height and width, and error (null for whole images); with "_" before, where df has such a name."""
+    added = ["tile", "dhash", "height", "width", "error"]
+    while set(added) & set(df.columns):
+        added = ["_" + a for a in added]
+    kinds = [T.BinaryType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.StringType()]
+
+    def one(media) -> tuple:
+        if not media.is_valid:
+            return (None,) * 5
+        try:
+            pixels = decode(media.as_buffer().to_pybytes())
+            return to_npy(area_resize(pixels, height, width)), difference_hash(pixels), *pixels.shape[:2], None
+        except (ValueError, IndexError, struct.error) as e:
+            return None, None, None, None, str(e) or type(e).__name__
 
-    @F.pandas_udf("struct<tile:binary,dhash:string,height:int,width:int>")
-    def tiles(media: pd.Series) -> pd.DataFrame:
-        out = []
-        for x in media:
-            if x is None:
-                out.append((None, None, None, None))
-                continue
-            pixels = decode(bytes(x))
-            out.append((to_npy(area_resize(pixels, height, width)), difference_hash(pixels), pixels.shape[0], pixels.shape[1]))
-        return pd.DataFrame(out, columns=["tile", "dhash", "height", "width"])
+    def run(batches):
+        for batch in batches_of(batches, media_col):
+            rows = list(zip(*map(one, batch.column(media_col))))
+            arrays = [pa.array(v, k) for v, k in zip(rows, (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *added])
 
-    return df.withColumn("_t", tiles(media_col)).select("*", "_t.*").drop("_t")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(a, k) for a, k in zip(added, kinds)]]))
 
 
 def text_image(payload: bytes) -> bytes:
@@ -181,7 +203,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in batches_of(batches, "text"):
             sizes, media, tiles = [], [], []
             for text in batch.column("text"):
                 n, payload = padded(text.as_py())
@@ -195,12 +217,12 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Reads images and tiles back: digests of payload and stored form, and the feature "dhash:mean" of image and tile."""
+    """Reads images and tiles back: digests of payload and stored form, and the feature, "dhash:digest" of the image and of its tile's samples."""
     kind = stored.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in batches_of(batches, "media"):
             rows = []
             for media, tile in zip(batch.column("media"), batch.column("tile")):
                 image = media.as_py()

@@ -8,8 +8,10 @@ it: rows are never sorted. Thresholds nest: the rows of a smaller budget are
 among those of a larger one.
 
 Defined results: null or empty text has size 0 and gets taken 0; a null source is
-a source of its own, ranked last; rows with the same id share a hash and are
-taken or left together; an empty table gives an empty result.
+a source of its own, ranked last; rows have the hash of their id and text, so that
+rows without an id, or with one id, are told apart; of rows that are equal in both,
+as many are taken as come nearest to the target; an empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -66,10 +68,11 @@ def _crossing(hist: DataFrame, keys: list[str], bucket: str) -> DataFrame:
 def thresholds(rows: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(source, size, h) and (source, _rest) -> (source, threshold): rows with h below it hold about _rest tokens of their source.
 
-    The row at the boundary belongs to the mix if that comes nearer to the budget.
+    The row at the boundary belongs to the mix if that comes nearer to the budget. With a
+    column r, rows of one hash are told apart by it: + tie, under which r must be where h is the threshold.
     """
     shift, keys = 60, []
-    edge = budgets.select("source", "_rest", F.lit(0).cast("long").alias("_before"))
+    every, edge = rows, budgets.select("source", "_rest", F.lit(0).cast("long").alias("_before"))
     for bits in (*levels, shift - sum(levels)):
         shift -= bits
         on = [rows["source"].eqNullSafe(edge["source"])]
@@ -87,14 +90,21 @@ def thresholds(rows: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = LE
         rows = cells
         keys.append(f"_b{shift}")
     inside = 2 * F.col("_before") + F.col("_group") <= 2 * F.col("_rest")
-    return edge.select("source", (F.col(keys[-1]) + inside.cast("long")).alias("threshold"))
+    if "r" not in every.columns:
+        return edge.select("source", (F.col(keys[-1]) + inside.cast("long")).alias("threshold"))
+    # rows of the boundary's hash go by a second one
+    edge = materialize(edge.select("source", F.col(keys[-1]).alias("threshold"), (F.col("_rest") - F.col("_before")).alias("_rest")), "mix-edges")
+    ties = every.join(edge.select(F.col("source").alias("_of"), "threshold"), F.col("source").eqNullSafe(F.col("_of")) & (F.col("h") == F.col("threshold"))).select("source", "size", F.col("r").alias("h"))
+    ties = materialize(ties, "mix-ties")
+    second = thresholds(ties, edge.select("source", "_rest"), levels).select(F.col("source").alias("_of"), F.col("threshold").alias("tie"))
+    return edge.join(second, edge["source"].eqNullSafe(second["_of"]), "left").select("source", "threshold", F.coalesce("tie", F.lit(0).cast("long")).alias("tie"))
 
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, seed: str = "mix",
+    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, seed: str = "mix", carry: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, size, source_size, target, copies, taken = size * copies.
+    """One row per input row: id, size, source_size, target, copies, taken = size * copies; carry: + row, the whole input row.
 
     A source whose target is r times its size and a rest gives every row r times,
     and the rows under the threshold of the rest once more; so no row is taken
@@ -103,7 +113,9 @@ def mix(
     """
     slim = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"), hash60(F.lit(seed), F.col(id_col)).alias("h"),
+        word_count(F.col(text_col)).alias("size"), hash60(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("h"),
+        # numbers the rows of this table; tells equal rows apart, which of them does not matter
+        F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 4).alias("r"), *([F.struct(*docs.columns).alias("row")] if carry else []),
     )
     slim = materialize(slim, "mix")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -113,12 +125,12 @@ def mix(
         .withColumn("_rest", F.col("target") - F.col("_r") * F.col("source_size")),
         "mix-sources",
     )
-    cut = thresholds(slim.select("source", "size", "h"), plan.filter("_rest > 0").select("source", "_rest"))
-    full = plan.join(cut, plan["source"].eqNullSafe(cut["source"]), "left").select(plan["*"], F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"))
+    cut = thresholds(slim.select("source", "size", "h", "r"), plan.filter("_rest > 0").select("source", "_rest"))
+    full = plan.join(cut, plan["source"].eqNullSafe(cut["source"]), "left").select(plan["*"], *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("threshold", "tie")])
     full = materialize(full, "mix-thresholds")
     out = slim.join(full, slim["source"].eqNullSafe(full["source"]), "inner")
-    copies = F.col("_r") + (F.col("h") < F.col("threshold")).cast("long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    copies = F.col("_r") + ((F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & (F.col("r") < F.col("tie")))).cast("long")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *(["row"] if carry else []))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +140,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),

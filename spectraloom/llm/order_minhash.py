@@ -116,12 +116,14 @@ def _ranges(ids: DataFrame, rows: int) -> tuple[Column, Column]:
     size = max(PIECE, -(-rows // PIECES))
     row = [(None, None, rows - sum(r["n"] for r in found)), *[(r["low"], r["high"], r["n"]) for r in found]]
     lows = F.array(*[F.lit(x[0]).cast(kind) for x in row[1:]]) if found else F.array().cast(f"array<{kind.simpleString()}>")
-    steps = F.lit(0)
-    bits = max(1, len(found).bit_length())
     # binary search: the number of ranges that begin at or before the id
-    for k in reversed(range(bits)):
-        there = F.get(lows, steps + (1 << k) - 1)
-        steps = steps + F.when(there.isNotNull() & (there <= F.col("id")), 1 << k).otherwise(0)
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(found).bit_length())))])
+
+    def step(place: Column, power: Column) -> Column:
+        there = F.get(lows, place + power - 1)
+        return place + F.when(there.isNotNull() & (there <= F.col("id")), power).otherwise(0)
+
+    steps = F.aggregate(powers, F.lit(0), step)
     at = F.when(F.col("id").isNull(), 0).otherwise(F.greatest(steps, F.lit(1)))
     number = lambda values, t: F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{t}>"), F.col("range"))
     parts = number([max(1, -(-x[2] // size)) for x in row], "double")

@@ -10,8 +10,11 @@ documents by ranges of the hash, counts of shards give every shard its first
 place, and only shards are ranked.
 
 Defined results: null or empty text has 0 tokens and lies in the first bucket; a
-document longer than the budget is a batch of its own; rows with the same id are
-packed one by one; an empty table gives an empty result.
+document longer than the budget is a batch of its own; rows have the hash of their id
+and text, so that rows without an id, or with one id, are told apart; rows that are
+equal in both are packed one by one, and those repeated more than shard_rows times
+come last in their bucket; an empty table gives an empty result; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -79,7 +82,7 @@ def _layer(cost: np.ndarray, size: np.ndarray, many: np.ndarray, mass: np.ndarra
 
 
 def pack(
-    docs: DataFrame, length: Column | None = None, id_col: str = "doc_id", buckets: int = 8,
+    docs: DataFrame, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8,
     token_budget: int = 16384, shard_rows: int = 50_000, seed: str = "pack",
 ) -> DataFrame:
     """One row per input row: id, n_tokens, bucket, bucket_len, batch, place, padding.
@@ -89,8 +92,10 @@ def pack(
     max(1, token_budget // bucket_len). The histogram on the driver has a row per
     distinct length, no more than the longest document has tokens.
     """
-    length = word_count(F.col("text")) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    slim = materialize(docs.select(F.col(id_col).alias("id"), length.alias("n_tokens"), hash60(F.lit(seed), F.col(id_col)).alias("h")), "pack")
+    length = word_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit(""))) if text_col in docs.columns else F.lit("")
+    # r numbers the rows of this table: which of equal rows comes first does not matter
+    slim = materialize(docs.select(F.col(id_col).alias("id"), length.alias("n_tokens"), hash60(F.lit(seed), F.col(id_col), digest).alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("r")), "pack")
     hist = slim.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toPandas()
     sizes, counts = hist["n_tokens"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
     bounds = optimal_bounds(sizes, counts, buckets) or [0]
@@ -99,11 +104,16 @@ def pack(
     number = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("bucket") + 1)
     bucket = sum((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
     dealt = slim.withColumn("bucket", bucket).withColumn("_shards", number([max(1, -(-int(r) // shard_rows)) for r in rows]))
-    dealt = dealt.withColumn("_shard", F.floor(F.col("h") / F.lit(2.0**60) * F.col("_shards")).cast("int"))
+    # hashes that repeat are few (rows / shard_rows at most): their rows are dealt to shards of their own
+    hot = dealt.groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("_many")).filter(F.col("_many") > shard_rows)
+    dealt = dealt.join(F.broadcast(hot), ["bucket", "h"], "left")
+    even = F.floor(F.col("h") / F.lit(2.0**60) * F.col("_shards")).cast("long")
+    own = F.pmod("r", F.ceil(F.col("_many") / shard_rows))
+    dealt = dealt.withColumn("_shard", F.struct(F.col("_many").isNotNull().alias("hot"), F.when(F.col("_many").isNull(), even).otherwise(F.col("h")).alias("cell"), F.coalesce(own, F.lit(0).cast("long")).alias("part")))
     per_shard = dealt.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     first = per_shard.select("bucket", "_shard", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_first"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("h", "id")) - 1)
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("h", "r")) - 1)
     out = ranked.join(first, ["bucket", "_shard"])
     wide = number([max(1, b) for b in bounds])
     capacity = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / wide)).cast("long")
@@ -122,7 +132,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
-         ('0x' || substr(md5(concat_ws('|', 'pack', coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(concat_ws('|', 'pack', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
   FROM documents),
 i AS (
   SELECT n_tokens AS l, row_number() OVER (ORDER BY n_tokens) AS j, sum(count(*)) OVER (ORDER BY n_tokens) AS c,

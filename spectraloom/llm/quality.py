@@ -250,7 +250,10 @@ def _sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(marks, "doc_id")
     ids = ids.select("doc_id", "bad", "toxic", hash60(F.lit("quality"), F.col("doc_id")).alias("h"))
     chosen = materialize(ids.orderBy("h", "doc_id").limit(LABELLED), "quality-sample")
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["key"])
+    rows = docs.join(F.broadcast(chosen), "doc_id")
+    # an id may have any number of texts: the bound is on rows
+    some = rows.select("key").distinct().orderBy("key").limit(LABELLED)
+    rows = rows.join(F.broadcast(some), "key").dropDuplicates(["key"])
     return materialize(rows.select("doc_id", "key", "text", "source", "lang", "bad", "toxic"), "quality-rows")
 
 

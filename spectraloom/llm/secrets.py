@@ -143,12 +143,13 @@ def _spans(df: DataFrame, rule: Rule, i: int) -> DataFrame:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """docs and spans: array of (start, kind, end, size) of all rules, by start, then kind as listed."""
+    """docs (but a column spans) and spans: array of (start, kind, end, size) of all rules, by start, then kind as listed."""
     own = docs.columns
-    df = with_candidates(docs, rules, text_col)
+    # the other columns travel as one, so that their names can't clash
+    df = with_candidates(docs.select(F.struct(*own).alias("_row"), F.col(text_col).alias("_text")), rules, "_text")
     for i, rule in enumerate(rules):
-        df = _spans(_pieces(df, rule, i, F.col(text_col)), rule, i)
-    return df.select(*[df[c] for c in own], F.array_sort(F.concat(*[F.col(f"_s{i}") for i in range(len(rules))])).alias("spans"))
+        df = _spans(_pieces(df, rule, i, F.col("_text")), rule, i)
+    return df.select(*[F.col("_row")[c].alias(c) for c in own if c != "spans"], F.array_sort(F.concat(*[F.col(f"_s{i}") for i in range(len(rules))])).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
