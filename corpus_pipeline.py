@@ -49,9 +49,11 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if several.isEmpty():
         return rows(first).select(*own).unionByName(nameless)
     kept = rows(first.join(several, "_c", "left_anti")).select(*own)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    repeated = rows(first.join(several, "_c", "left_semi")).select("_c", F.struct(docs["text"], docs["doc_id"], *[docs[c] for c in rest]).alias("_r"))
-    one = repeated.groupBy("_c").agg(F.min("_r").alias("_r")).select("_r.*").select(*docs.columns)
+    row = F.struct(*own)
+    # of rows with that id the one with the least text, then the least as JSON: a map has no order
+    order = F.struct(docs["text"].isNotNull().alias("some"), docs["text"].alias("text"), F.to_json(row).alias("all"))
+    repeated = rows(first.join(several, "_c", "left_semi")).select("_c", row.alias("_r"), order.alias("_o"))
+    one = repeated.groupBy("_c").agg(F.min_by("_r", "_o").alias("_r")).select("_r.*").select(*docs.columns)
     return kept.unionByName(one).unionByName(nameless)
 
 
@@ -63,11 +65,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mixture says: 0 to 3 times."""
-    taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row"))
-    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["doc_id"]))
-    repeated = rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
-    return repeated.select("_row.*")
+    taken = mixing.mix(docs, carry=True).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
