@@ -95,9 +95,11 @@ def hydrophobicity(seq: Column) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance between token lists, each token one private character by its place among both lists' distinct tokens."""
+    """Edit distance between token lists, each token one character by its place among both lists' distinct tokens, of which there may be 55,000."""
     known = F.array_distinct(F.concat(a, b))
-    spell = lambda t: F.array_join(F.transform(t, lambda x: F.char(F.lit(0) + F.array_position(known, x) + 32)), "")
+    # code points 256 up to the surrogates, as UTF-16
+    sign = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + 255), 4, "0")), "UTF-16BE")
+    spell = lambda t: F.array_join(F.transform(t, sign), "")
     return F.levenshtein(spell(a), spell(b))
 
 
@@ -164,3 +166,33 @@ def ion_charge(annotation: Column) -> Column:
     hat = F.regexp_extract(annotation, r"\^(\d+)", 1).try_cast("int")
     plus = F.length(annotation) - F.length(F.translate(annotation, "+", ""))
     return F.coalesce(hat, F.greatest(plus, F.lit(1)))
+
+
+def replace_all(seq: Column, pairs) -> Column:
+    """Literal replacements, one after the other."""
+    for old, new in pairs:
+        seq = F.replace(seq, F.lit(old), F.lit(new))
+    return seq
+
+
+#: Names of modifications by UNIMOD id.
+TYPES = {"1": "Acetyl", "4": "Carbamidomethyl", "7": "Deamidated", "21": "Phospho", "35": "Oxidation"}
+
+
+def modification_types(seq: Column) -> Column:
+    """Names of a sequence's modifications, sorted and joined by " + "; Unmodified for none."""
+    names = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
+    found = F.transform(F.regexp_extract_all(seq, F.lit(r"UNIMOD:(\d+)"), F.lit(1)), lambda i: F.coalesce(F.try_element_at(names, i), F.lit("Other")))
+    return F.coalesce(F.nullif(F.array_join(F.array_sort(F.array_distinct(found)), " + "), F.lit("")), F.lit("Unmodified"))
+
+
+def has_phospho(seq: Column) -> Column:
+    return F.coalesce(seq, F.lit("")).rlike(r"(?i)unimod:21(?!\d)|phospho|\(ph\)")
+
+
+def has_glyco_text(seq: Column) -> Column:
+    return F.coalesce(seq, F.lit("")).rlike(r"(?i)hexnac|glyco|\(gly\)|\(glc\)")
+
+
+def has_deamidated_n(seq: Column) -> Column:
+    return F.coalesce(seq, F.lit("")).rlike(r"(?i)N[\[(]unimod:7[\])]|N\[115(?:\.\d+)?\]")

@@ -79,3 +79,9 @@ def first_failing(checks: list[tuple[str, Column]], otherwise: str = "eligible")
     for name, bad in reversed(checks):
         out = F.when(bad, F.lit(name)).otherwise(out)
     return out
+
+
+def find_column(columns: list[str], candidates: list[str]) -> str | None:
+    """The first candidate that is a column, whatever the case."""
+    known = {c.lower(): c for c in columns}
+    return next((known[c.lower()] for c in candidates if c.lower() in known), None)

@@ -74,6 +74,8 @@ def cosine_top_k(queries: DataFrame, library: DataFrame, k: int, block: int = 40
 
         part = spread.mapInPandas(run, "query_id bigint, library_id bigint, score double")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, library_id bigint, rank int, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "library_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "library_id", "rank", "score")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def order_hash(key: Column, seed: int = 42) -> Column:
-    """A repeatable order: md5 of seed and key."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    """A repeatable order: md5 of seed and key, null as the empty key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def file_seed(path: Column, seed: int = 42) -> Column:
@@ -25,13 +25,12 @@ def merge_history(batch: DataFrame, history: DataFrame, key: str) -> DataFrame:
     return history.join(batch, key, "left_anti").unionByName(batch)
 
 
-def ranked(df: DataFrame, key: str, seed: int = 42, buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, key: str, seed: int = 42, digits: int = 3) -> DataFrame:
     """+ _rank, from 0, in the order of the keys' hashes.
 
-    Buckets are the hash's leading byte or two; counts of buckets give each its first
-    rank, and only buckets are sorted.
+    Buckets are the hash's leading digits (16 ** digits of them); counts of buckets give
+    each its first rank, and only buckets are sorted.
     """
-    digits = 2 if buckets <= 256 else 4
     hashed = df.withColumn("_h", order_hash(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, digits))
     counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

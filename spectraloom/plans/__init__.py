@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules that register queries.
-MODULES = ("tiers", "cleaning", "strings", "splitting", "analytics", "fragments")
+MODULES = ("tiers", "cleaning", "strings", "splitting", "analytics", "fragments", "spectra", "curation", "tasks")
 
 
 def load():

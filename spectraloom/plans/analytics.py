@@ -225,12 +225,12 @@ def k14(spark, sf_dir):
 
 
 KNN = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS l, a.label = b.label AS same, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 9) AS score
-  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, l) AS rank FROM s QUALIFY rank <= 10)"""
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, l) AS rank FROM s QUALIFY rank <= 10)"""
 
 
 def neighbours(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    hits = M.cosine_top_k(rows.filter("id % 10 = 0"), rows, 10)
+    hits = M.cosine_top_k(rows.filter("id % 50 = 0"), rows, 10)
     labels = rows.select("id", "label")
     hits = hits.join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("_q")), "query_id").join(labels.select(F.col("id").alias("library_id"), F.col("label").alias("_l")), "library_id")
     return hits.withColumn("same", F.col("_q") == F.col("_l"))

@@ -34,11 +34,13 @@ def scan_ipc(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFra
 
 
 def replace_parquet(df: DataFrame, path: str) -> None:
-    """Writes beside the path, then swaps: readers see the old files or the new ones."""
+    """Writes beside the path, then swaps. Between two renames the path is absent for a moment; what a crash has left there is put back by the next call."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     target, fresh, old = hadoop(path), hadoop(f"{path}.new"), hadoop(f"{path}.old")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
     df.write.mode("overwrite").parquet(f"{path}.new")
     fs.delete(old, True)
     if fs.exists(target):

@@ -15,11 +15,19 @@ def registry_ingest(spark: SparkSession, source: str, schema: T.StructType, key:
     def version(number: int) -> str:
         return f"{registry}/version={number}"
 
-    def batch(df: DataFrame, number: int) -> None:
+    def newest() -> int:
+        """The last whole version; -1 for none."""
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{registry}/version=*/_SUCCESS")
+        found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+        return max((int(str(x.getPath().getParent().getName()).partition("=")[2]) for x in found or ()), default=-1)
+
+    def batch(df: DataFrame, _: int) -> None:
+        # a batch that is tried again finds its keys known, and a fresh checkpoint the registry as it is
+        last = newest()
         empty = spark.createDataFrame([], T.StructType([schema[key], T.StructField("split", T.StringType())]))
-        history = spark.read.parquet(version(number - 1)) if number else empty
+        history = spark.read.parquet(version(last)) if last >= 0 else empty
         assigned = assign_hashes(df.select(key).filter(F.col(key).isNotNull()).distinct(), history, key)
-        merge_history(assigned, history, key).write.mode("overwrite").parquet(version(number))
+        merge_history(assigned, history, key).write.mode("overwrite").parquet(version(last + 1))
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
