@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,8 @@ def _ragged(rows: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
 def _encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of distinct words, ragged."""
     tokenizer, known, _, kind = _tokenizer(path)
-    whole = lambda texts: [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    code = "H" if kind is np.uint16 else "I"
+    whole = lambda texts: [array(code, e.ids).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
     marked = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(plain, words, "")), PIECES, r"\1 ")
     parts = pc.ascii_split_whitespace(marked)
