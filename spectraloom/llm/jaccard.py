@@ -40,6 +40,8 @@ BROADCAST_KEYS = 2_000_000
 BLOCK = 2048
 #: Group keys and pairs that a task remembers in order not to send them again; beyond, it forgets.
 REMEMBER = 1_000_000
+#: Open groups, by key, that a member knows of itself.
+KNOWN = 16
 #: Rows after which a group of equal signatures is passed on in parts.
 RUN = 1 << 16
 
@@ -260,15 +262,30 @@ def _group_runs(batches):
 
 
 def _open_pairs(percent: int, nearest: bool):
-    """Rows (gkey, block, node, component, n_shingles, bitmap) sorted by gkey and block -> pairs in different components that may be similar.
+    """Rows (gkey, block, node, component, n_shingles, bitmap, side, lowest) sorted by gkey and block -> pairs in different components that may be similar.
 
     nearest: only between the largest component of a group and each other one, the pair whose bitmaps differ least.
+    lowest: the least keys of a node's open groups. Two nodes that share one of these below gkey are compared there, so this group is silent about them; the least group of a pair never is.
     """
 
-    def compare(node, comp, size, bitmap, side):
+    def elsewhere(gkey, lowest):
+        """Whether the members at two places share a known group before this one."""
+        lists, below = [], {}
+
+        def before(r):
+            if not lists:
+                lists.extend(x for part in lowest for x in part.to_pylist())
+            if r not in below:
+                below[r] = {k for k in lists[r] if k < gkey}
+            return below[r]
+
+        return lambda r, x: not before(r).isdisjoint(before(x))
+
+    def compare(node, comp, size, bitmap, side, met):
         order = np.argsort(size, kind="stable")
         node, comp, size, side = node[order], comp[order], size[order], side[order]
         bitmap = [bitmap[o] for o in order]
+        place = order.tolist()
         a_out, b_out, near = [], [], {}
         ids, many = np.unique(comp, return_counts=True)
         centre = comp == ids[many.argmax()]
@@ -294,12 +311,14 @@ def _open_pairs(percent: int, nearest: bool):
                         for x, d in zip(up[c].tolist(), differ.tolist()):
                             key = comp[x] if centre[r] else comp[r]
                             if key not in near or d < near[key][0]:
-                                near[key] = (d, node[r], node[x])
+                                near[key] = (d, node[r], node[x], place[r], place[x])
                         continue
+                    c = np.array([o for o in c.tolist() if not met(place[r], place[up[o]])], np.int64)
                     a_out.append(np.full(len(c), node[r]))
                     b_out.append(node[up[c]])
         if near:
-            return tuple(np.array([x[i] for x in near.values()]) for i in (1, 2))
+            fresh = [x for x in near.values() if not met(*x[3:])]
+            return tuple(np.array([x[i] for x in fresh], np.int64) for i in (1, 2))
         return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.empty(0, np.int64),) * 2
 
     def run(batches):
@@ -309,7 +328,8 @@ def _open_pairs(percent: int, nearest: bool):
         def flush():
             node, comp, size, side = (np.concatenate(x) for x in zip(*[h[:4] for h in held]))
             if len(node) > 1 and (comp != comp[0]).any():
-                a, b = compare(node, comp, size, [m for h in held for m in h[4].to_pylist()], side)
+                met = elsewhere(now[0], [h[5] for h in held])
+                a, b = compare(node, comp, size, [m for h in held for m in h[4].to_pylist()], side, met)
                 if len(told) > REMEMBER:
                     told.clear()
                 new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if not (p in told or told.add(p))]
@@ -326,7 +346,7 @@ def _open_pairs(percent: int, nearest: bool):
                     if held:
                         yield from flush()
                     now, held = (gkey[i], block[i]), []
-                held.append((*(x[i:j] for x in rest), batch.column("bitmap").slice(i, j - i)))
+                held.append((*(x[i:j] for x in rest), batch.column("bitmap").slice(i, j - i), batch.column("lowest").slice(i, j - i)))
         if held:
             yield from flush()
 
@@ -402,14 +422,17 @@ def _unsettled(groups: DataFrame, comps: DataFrame, facts: DataFrame, percent: i
     placed = groups.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_groups = placed.groupBy("gkey").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count(F.lit(1)).alias("_c")).filter("_l != _h")
     blocks = F.ceil(F.col("_c") / BLOCK).cast("int")
+    inside = placed.select("gkey", "node", "component").join(open_groups, "gkey")
+    # as many keys as a set has signatures at most, of which the first are kept
+    lowest = inside.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("gkey")), 1, KNOWN).alias("lowest"))
     dealt = (
-        placed.select("gkey", "node", "component").join(open_groups, "gkey").withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+        inside.withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
         .withColumn("block", F.least("_i", "_j") * F.col("_k") + F.greatest("_i", "_j"))
         # in a block of pairs of two blocks, only rows of different sides are compared
         .withColumn("side", F.when(F.pmod("block", F.col("_k")) == F.floor(F.col("block") / F.col("_k")), F.lit(-1)).otherwise(F.col("_i")))
-        .join(facts, "node")
-        .select("gkey", "block", "node", "component", "n_shingles", "bitmap", "side")
+        .join(facts.join(lowest, "node"), "node")
+        .select("gkey", "block", "node", "component", "n_shingles", "bitmap", "side", "lowest")
     )
     # a key has two blocks at most, however large its group is
     return dealt.repartition("gkey", "block").sortWithinPartitions("gkey", "block").mapInArrow(_open_pairs(percent, nearest), "a bigint, b bigint").distinct()
