@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +57,21 @@ def mass_gaps(ions: DataFrame, key: str) -> DataFrame:
 
 
 def greedy_match(pairs: DataFrame, by: list[str], left: str, right: str, cost: str) -> DataFrame:
-    """One-to-one pairs of each group, cheapest first; ties by left, then right. A group is one spectrum: its candidates fit a task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, keep = set(), set(), []
-        for i, a, b in pdf.sort_values([cost, left, right])[[left, right]].itertuples():
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                keep.append(i)
-        return pdf.loc[keep]
-
-    return pairs.groupBy(*by).applyInPandas(run, pairs.schema)
+    """One-to-one pairs of each group, cheapest first; ties by left, then right. Groups pass in their order, a task holds the ids used in one group."""
+    order = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_last() for c in (cost, left, right)])
+
+    def run(batches):
+        used_l, used_r = set(), set()
+        for batch in batches:
+            keep = []
+            for i, (n, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_n", left, right)), strict=True)):
+                if n == 1:
+                    used_l, used_r = set(), set()
+                if a not in used_l and b not in used_r:
+                    used_l.add(a)
+                    used_r.add(b)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select(names)
+
+    names = pairs.columns
+    return pairs.withColumn("_n", F.row_number().over(order)).mapInArrow(run, pairs.schema)

@@ -42,3 +42,20 @@ def band_join(left: DataFrame, right: DataFrame, by: list[str], x: str, y: str,
     cells = left.withColumn("_cell", F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.floor(F.col(x) / width) + d)))
     other = right.withColumn("_cell", F.floor(F.col(y) / width))
     return cells.join(other, [*by, "_cell"]).drop("_cell").filter(F.abs(F.col(x) - F.col(y)) <= tolerance)
+
+
+def band_pairs(left: DataFrame, right: DataFrame, by: list[str], x: str, y: str, tolerance: float) -> DataFrame:
+    """band_join for groups that are one spectrum each: a shuffle by the group, then a frame along the axis holds the right rows of each left row's band.
+
+    No side is copied into cells and none is broadcast, whatever the planner takes their size to be.
+    """
+    # a little more than the tolerance, for what is lost by the division
+    width = max(tolerance, 1e-9) * 1.001
+    sides = []
+    for df, c, name in ((left, x, "_l"), (right, y, "_r")):
+        known = df.filter(F.col(c).isNotNull()).dropna(subset=by)
+        sides.append(known.select(*by, (F.col(c) / width).cast("double").alias("_x"), F.struct(*[F.col(n) for n in df.columns if n not in by]).alias(name)))
+    rows = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    near = F.collect_list("_r").over(Window.partitionBy(*by).orderBy("_x").rangeBetween(-1, 1))
+    pairs = rows.withColumn("_n", near).filter("_l IS NOT NULL").select(*by, "_l", F.explode("_n").alias("_r")).select(*by, "_l.*", "_r.*")
+    return pairs.filter(F.abs(F.col(x) - F.col(y)) <= tolerance)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import MODIFICATIONS, PROTON, RESIDUES, WATER
 from ..operators import fragments as G
-from ..operators.windows import band_join
+from ..operators.windows import band_pairs
 from .catalog import register
 from .strings import SEQ, masses, sequences
 
@@ -45,5 +45,5 @@ def e12(spark, sf_dir):
     """Ladders against themselves, shifted by 0.01: every ion within 0.02 matches one to one."""
     theory = ions(spark, sf_dir).select("p_partkey", F.concat("series", F.col("position").cast("string")).alias("ion"), "mz")
     seen = theory.select("p_partkey", F.col("ion").alias("peak"), (F.col("mz") + 0.01).alias("peak_mz"))
-    pairs = band_join(theory, seen, ["p_partkey"], "mz", "peak_mz", 0.02).withColumn("error", F.round(F.abs(F.col("mz") - F.col("peak_mz")), 9))
+    pairs = band_pairs(theory, seen, ["p_partkey"], "mz", "peak_mz", 0.02).withColumn("error", F.round(F.abs(F.col("mz") - F.col("peak_mz")), 9))
     return G.greedy_match(pairs, ["p_partkey"], "ion", "peak", "error").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("matched"))
