@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import band_pairs
+
 #: Edges of the m/z bins over which peaks are counted, the last bin closed.
 MZ_EDGES = (0, 50, 2500, 3000, 3500, 4000, 4500, 5000)
 
@@ -78,10 +80,7 @@ def charge_variants(ions: DataFrame, peaks: DataFrame, by: list[str], mz: str, c
     """Peaks at which an ion would lie with another charge from 1 to most: + other, the charge."""
     other = ions.withColumn("other", F.explode(F.sequence(F.lit(1), F.lit(most)))).filter(F.col("other") != F.col(charge))
     expected = other.withColumn("_e", ((F.col(mz) - proton) * F.col(charge) + F.col("other") * proton) / F.col("other"))
-    width = tolerance * 2
-    cells = expected.withColumn("_cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_e") / width) + d)))
-    found = cells.join(peaks.withColumn("_cell", F.floor(F.col(peak_mz) / width)), [*by, "_cell"])
-    return found.filter(F.abs(F.col("_e") - F.col(peak_mz)) <= tolerance).drop("_cell", "_e")
+    return band_pairs(expected, peaks, by, "_e", peak_mz, tolerance).drop("_e")
 
 
 def match_most_intense_first(pairs: DataFrame, by: list[str], left: str, right: str, intensity: str, distance: str) -> DataFrame:

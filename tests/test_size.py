@@ -15,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["e12_matched_ions"])
+@pytest.mark.parametrize("name", ["e12_matched_ions", "e18_charge_variants"])
 def test_ladders_are_not_broadcast(spark, name):
     # the planner takes a ladder for as small as its table
     assert "BroadcastExchange" not in plan(load().QUERIES[name](spark, DATA))
