@@ -42,11 +42,11 @@ def isotope_variants(ions: DataFrame, most: int) -> DataFrame:
 
 
 def complementary_pairs(ions: DataFrame, key: str) -> DataFrame:
-    """b_i with y_(n-i) at charge 1: one row per cleavage site, with the sum of both neutral masses."""
+    """b_i with y_(n-i) at charge 1: one row per cleavage site, with both m/z and the sum of both neutral masses."""
     n = Window.partitionBy(key)
     one = ions.filter("charge = 1").withColumn("_n", F.max("position").over(n) + 1).withColumn("site", F.when(F.col("series") == "b", F.col("position")).otherwise(F.col("_n") - F.col("position")))
     pick = lambda s: F.max(F.when(F.col("series") == s, F.col("mz")))
-    return one.groupBy(key, "site").agg((pick("b") + pick("y") - 2 * PROTON).alias("mass"))
+    return one.groupBy(key, "site").agg(pick("b").alias("b"), pick("y").alias("y")).withColumn("mass", F.col("b") + F.col("y") - 2 * PROTON)
 
 
 def mass_gaps(ions: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import peaks as P
 from ..functions.sequences import PROTON
+from ..operators import fragments as G
 from ..operators import spectra as O
 from ..operators import windows as W
 from .analytics import PEAKS, peaks, spectra
@@ -182,10 +183,8 @@ def f38(spark, sf_dir):
 
 @register("f39_pairs_by_site", f"{IONS} SELECT b.position AS site, count(*) AS n, round(avg(y.mz), 4) AS mean_mz FROM ions b JOIN ions y ON b.p_partkey = y.p_partkey JOIN (SELECT p_partkey, len(m) AS n FROM t) t ON t.p_partkey = b.p_partkey WHERE b.series = 'b' AND y.series = 'y' AND b.position + y.position = t.n GROUP BY 1")
 def f39(spark, sf_dir):
-    rows = ions(spark, sf_dir)
-    n = rows.groupBy("p_partkey").agg((F.max("position") + 1).alias("n"))
-    y = rows.filter("series = 'y'").join(n, "p_partkey").select("p_partkey", (F.col("n") - F.col("position")).alias("position"), F.col("mz").alias("other"))
-    return rows.filter("series = 'b'").join(y, ["p_partkey", "position"]).groupBy(F.col("position").alias("site")).agg(F.count(F.lit(1)).alias("n"), ROUND(F.avg("other"), 4).alias("mean_mz"))
+    sites = G.complementary_pairs(ions(spark, sf_dir), "p_partkey")
+    return sites.groupBy("site").agg(F.count(F.lit(1)).alias("n"), ROUND(F.avg("y"), 4).alias("mean_mz"))
 
 
 @register("f30_resolvability", """SELECT name, width, CASE WHEN delta / width >= 2 THEN 'resolvable' WHEN delta / width >= 1 THEN 'marginal' ELSE 'unresolvable' END AS class, round(delta / width, 6) AS bins

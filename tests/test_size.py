@@ -15,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["e12_matched_ions", "e18_charge_variants"])
+@pytest.mark.parametrize("name", ["e12_matched_ions", "e18_charge_variants", "f39_pairs_by_site"])
 def test_ladders_are_not_broadcast(spark, name):
     # the planner takes a ladder for as small as its table
     assert "BroadcastExchange" not in plan(load().QUERIES[name](spark, DATA))
@@ -51,3 +51,10 @@ def test_greedy_match_across_batches(spark):
     finally:
         spark.conf.set(batch, before)
     assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
+
+
+def test_sites_have_both_ions(spark):
+    ions = fragments.ladder(spark.createDataFrame([(1, "GASP")], "k int, s string"), "k", "s")
+    by = {(r.series, r.position): r.mz for r in ions.collect()}
+    out = fragments.complementary_pairs(ions, "k").orderBy("site").collect()
+    assert [(r.site, r.b, r.y) for r in out] == [(i, by["b", i], by["y", 4 - i]) for i in (1, 2, 3)]
