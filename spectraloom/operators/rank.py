@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def percent_rank_average(value: Column, by: list[str]) -> Column:
@@ -16,17 +19,142 @@ def percent_rank_average(value: Column, by: list[str]) -> Column:
     return F.when(value.isNull() | (n <= 1), F.lit(0.5)).otherwise((rank - 1) / (n - 1))
 
 
+#: Rows that a cut of a group stands for, and the most cuts of a group (a binary search of 8 steps).
+CUT_ROWS, CUTS = 50_000, 255
+
+
+def _cuts(df: DataFrame, by: list[str], cols: list[str]) -> list:
+    """Rows of groups that are cut: by, and for each column its cuts, in order. No more than rows / CUT_ROWS of each column in all; where they lie changes no result."""
+    k = F.least(F.lit(CUTS).cast("long"), F.floor(F.col("_n") / CUT_ROWS))
+    quantiles = [F.percentile_approx(c, [j / (CUTS + 1) for j in range(1, CUTS + 1)], 10_000).alias(c) for c in cols]
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *quantiles).filter(F.col("_n") >= CUT_ROWS).withColumn("_k", k)
+
+    def kept(c: str) -> Column:
+        places = F.sequence(F.lit(1).cast("long"), F.col("_k"))
+        return F.transform(places, lambda j: F.get(F.col(c), F.floor(j * (CUTS + 1) / (F.col("_k") + 1)).cast("int") - 1)).alias(c)
+
+    return groups.select(*by, *[kept(c) for c in cols]).collect()
+
+
+def _with_table(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
+    return df.join(F.broadcast(table), on=same or F.lit(True), how="left").drop(*[f"_b{i}" for i in range(len(by))])
+
+
+def _with_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """+ _k_<c>: twice the number of cuts below the value, and 1 more for a value that is two cuts at least; null for null values and in groups without cuts."""
+    df = df.withColumns({f"_k_{c}": F.when(F.col(c).isNotNull() & F.col(f"_cuts_{c}").isNotNull(), F.lit(0)) for c in cols})
+    step = (CUTS + 1) // 2
+    while step:
+        df = df.withColumns({f"_k_{c}": F.col(f"_k_{c}") + F.when(F.get(f"_cuts_{c}", F.col(f"_k_{c}") + (step - 1)) < F.col(c), F.lit(step)).otherwise(F.lit(0)) for c in cols})
+        step //= 2
+    at = lambda c, d: F.coalesce(F.get(f"_cuts_{c}", F.col(f"_k_{c}") + d) == F.col(c), F.lit(False))
+    return df.withColumns({f"_k_{c}": F.col(f"_k_{c}") * 2 + (at(c, 0) & at(c, 1)).cast("int") for c in cols})
+
+
+def percent_ranks(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """The columns' values replaced by percent_rank_average within the groups, whatever the groups' sizes.
+
+    Large groups are cut at approximate quantiles. Exact counts of what lies between the cuts give
+    each bucket its first rank, so that only buckets are sorted; a value that fills buckets of its own is
+    ranked by its count and not moved. Cuts and counts are collected, rows / CUT_ROWS of each column at most
+    and twice as many.
+    """
+    spark = df.sparkSession
+    found = _cuts(df, by, cols)
+    if not found:
+        return df.withColumns({c: percent_rank_average(F.col(c), by) for c in cols})
+    kinds = {f.name: f.dataType for f in df.schema}
+    keys = [T.StructField(f"_b{i}", kinds[b]) for i, b in enumerate(by)]
+    cuts = [T.StructField(f"_cuts_{c}", T.ArrayType(kinds[c])) for c in cols]
+    table = spark.createDataFrame([tuple(r) for r in found], T.StructType(keys + cuts))
+
+    # a pass for each column: in one, the code of all grows beyond what the JVM compiles; rows of groups without cuts are counted together
+    counts: dict = {}
+    for i, c in enumerate(cols):
+        part = table.select(*[k.name for k in keys], f"_cuts_{c}", F.lit(True).alias("_cut"))
+        coded = _with_codes(_with_table(df.filter(F.col(c).isNotNull()), part, by), [c])
+        kept = [F.when(F.col("_cut"), F.col(b)).alias(k.name) for b, k in zip(by, keys, strict=True)]
+        for *key, cut, k, n in coded.groupBy(*kept, "_cut", f"_k_{c}").count().collect():
+            counts.setdefault((tuple(key) if cut else None, i), {})[k] = n
+    uncut = {i for key, i in counts if key is None}
+    loose = {i for (key, i), x in counts.items() if key is None or any(k % 2 == 0 for k in x)}
+
+    rows, n_by = [], len(by)
+    for r in found:
+        row = list(r)
+        for i in range(len(cols)):
+            sizes = counts.get((tuple(r[:n_by]), i), {})
+            dense = [sizes.get(k, 0) for k in range(2 * len(r[n_by + i]) + 2)]
+            row += [dense, [0, *accumulate(dense[:-1])], sum(dense)]
+        rows.append(tuple(row))
+    long = T.LongType()
+    facts = [T.StructField(f"_{n}_{c}", t) for c in cols for n, t in (("sizes", T.ArrayType(long)), ("firsts", T.ArrayType(long)), ("all", long))]
+    table = spark.createDataFrame(rows, T.StructType(keys + cuts + facts))
+    for i in sorted(range(len(cols)), key=lambda i: i in loose):
+        df = _ranked_column(df, table, by, cols[i], i in loose, i in uncut)
+    return df
+
+
+def _ranked_column(df: DataFrame, table: DataFrame, by: list[str], c: str, loose: bool, uncut: bool) -> DataFrame:
+    """loose: not all values are ranked by their counts; uncut: some groups have no cuts."""
+    names, value, code = df.columns, F.col(c), F.col(f"_k_{c}")
+    part = table.select(*[f"_b{i}" for i in range(len(by))], *[f"_{n}_{c}" for n in ("cuts", "sizes", "firsts", "all")])
+    df = _with_codes(_with_table(df, part, by), [c]).withColumn("_first", F.get(f"_firsts_{c}", code)).withColumn("_n", F.col(f"_all_{c}"))
+    share = F.when(F.col("_n") <= 1, F.lit(0.5)).otherwise((F.col("_first") + 1 + (F.get(f"_sizes_{c}", code) - 1) / 2 - 1) / (F.col("_n") - 1))
+    df = df.withColumn("_p", F.when(value.isNull(), F.lit(0.5)).when(code % 2 == 1, share))
+    if loose:
+        # what has its rank already goes anywhere
+        df = df.withColumn("_g", F.when(F.col("_p").isNotNull(), -1 - F.pmod(F.hash(*names), F.lit(1024))).otherwise(F.coalesce(code, F.lit(0)))).select(*names, "_g", "_p", "_first", "_n")
+        bucket = [*by, "_g"]
+        n = F.coalesce("_n", F.count(value).over(Window.partitionBy(*bucket))) if uncut else F.col("_n")
+        df = df.withColumns({"_r": F.rank().over(Window.partitionBy(*bucket).orderBy(value.asc())), "_t": F.count(value).over(Window.partitionBy(*bucket, value)), "_n": n})
+        rank = F.coalesce("_first", F.lit(0)) + F.col("_r") + (F.col("_t") - 1) / 2
+        df = df.withColumn("_p", F.coalesce("_p", F.when(F.col("_n") <= 1, F.lit(0.5)).otherwise((rank - 1) / (F.col("_n") - 1))))
+    # a lambda ends the generated method: with the searches of three columns in one, it grows beyond what the JVM compiles
+    out = F.col("_p") if loose else F.get(F.transform(F.array("_p"), lambda x: x), F.lit(0))
+    return df.withColumn(c, out).select(*names)
+
+
 def composite_score(df: DataFrame, by: list[str], parts: list[Column], name: str = "score") -> DataFrame:
     """Mean of the percentile ranks of the parts within the groups."""
-    cols = {f"_p{i}": p for i, p in enumerate(parts)}
-    df = df.withColumns(cols)
-    total = sum((percent_rank_average(F.col(c), by) for c in cols), F.lit(0.0))
+    cols = [f"_p{i}" for i in range(len(parts))]
+    df = percent_ranks(df.withColumns(dict(zip(cols, parts, strict=True))), by, cols)
+    total = sum((F.col(c) for c in cols), F.lit(0.0))
     return df.withColumn(name, total / F.lit(len(parts))).drop(*cols)
 
 
+#: Cells of a range in a search for a quantile, and how often the range is cut before what is left is sorted.
+CELLS, LEVELS = 1 << 16, 2
+
+
+def quantiles(df: DataFrame, x: str, qs: list[float], name: str = "_limits") -> DataFrame:
+    """One row: exact quantiles of the non-null values, interpolated between neighbours.
+
+    Counts by distinct value are summed up in cells of equal width between the least and the greatest value; the cell of
+    each rank that is asked for is cut into cells again, and only the values of the last cell are sorted.
+    """
+    counts = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    place = F.array(*[F.struct(F.lit(2 * i + up).alias("_t"), (F.ceil if up else F.floor)((F.col("_all") - 1) * F.lit(q)).alias("_r")) for i, q in enumerate(qs) for up in (0, 1)])
+    ends = counts.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_all"))
+    sought = ends.filter("_all > 0").select("_lo", "_hi", "_all", F.lit(0).cast("long").alias("_before"), F.explode(place).alias("_x")).select("_lo", "_hi", "_all", "_before", "_x.*")
+    far, endless = F.lit(1.7976931348623157e308), F.lit(float("inf"))
+    lo, hi = (F.greatest(F.least(F.col(c), far), -far) / 2 for c in ("_lo", "_hi"))
+    cell = F.when(F.col("_v") == -endless, F.lit(-1)).when(F.col("_v") >= endless, F.lit(CELLS + 1)).when(hi <= lo, F.lit(0)).otherwise(F.floor((F.col("_v") / 2 - lo) / (hi - lo) * CELLS))
+    for level in range(LEVELS + 1):
+        within = counts.join(F.broadcast(sought), (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        cells = within.groupBy("_t", "_r", "_all", "_before", (cell if level < LEVELS else F.col("_v")).alias("_cell")).agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_t").orderBy("_cell"))
+        sought = cells.withColumn("_upto", upto).filter((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c"))).select("_lo", "_hi", "_all", (F.col("_upto") - F.col("_c")).alias("_before"), "_t", "_r")
+    ends = sought.agg(F.max("_all").alias("_all"), *[F.max(F.when(F.col("_t") == t, F.col("_lo"))).alias(f"_v{t}") for t in range(2 * len(qs))])
+    share = lambda q: (F.col("_all") - 1) * F.lit(q) - F.floor((F.col("_all") - 1) * F.lit(q))
+    between = [F.when(F.col(a) == F.col(b), F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * share(q)) for q, a, b in ((q, f"_v{2 * i}", f"_v{2 * i + 1}") for i, q in enumerate(qs))]
+    return ends.select(F.array(*between).alias(name))
+
+
 def tiers(df: DataFrame, score: str = "score", cuts: tuple[tuple[str, float], ...] = (("high", 0.98), ("medium", 0.90)), rest: str = "low") -> DataFrame:
     """+ tier: the first cut whose pooled quantile the score is strictly above. The quantiles are one row, broadcast."""
-    limits = df.agg(F.percentile(F.col(score), F.array(*[F.lit(q) for _, q in cuts])).alias("_limits"))
+    limits = quantiles(df, score, [q for _, q in cuts])
     tier = F.lit(rest)
     for i in reversed(range(len(cuts))):
         tier = F.when(F.col(score) > F.col("_limits")[i], F.lit(cuts[i][0])).otherwise(tier)

@@ -1,11 +1,12 @@
 """What must hold whatever the size of a table: no side of an ion is broadcast, no group is one task's."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from spectraloom.operators import fragments, windows
+from spectraloom.operators import fragments, rank, windows
 from spectraloom.plans import load
 
 DATA = "/root/testdata/sf0.001"
@@ -58,3 +59,40 @@ def test_sites_have_both_ions(spark):
     by = {(r.series, r.position): r.mz for r in ions.collect()}
     out = fragments.complementary_pairs(ions, "k").orderBy("site").collect()
     assert [(r.site, r.b, r.y) for r in out] == [(i, by["b", i], by["y", 4 - i]) for i in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("size", [40, 10**9])
+def test_percent_ranks_of_cut_groups(spark, monkeypatch, size):
+    """Frequent values, nulls, a null group and small groups, with groups cut and not."""
+    monkeypatch.setattr(rank, "CUT_ROWS", size)
+    rng = random.Random(7)
+    rows = [(g, i, rng.choice([None, 1.0, 2.0, rng.random(), float("nan")]), rng.choice([0.1, 0.2]), rng.gauss(0, 1) ** 9) for g, n in ((1, 900), (2, 300), (None, 200), (3, 7), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, i int, a double, b double, c double")
+    want = {(r.g, r.i): tuple(r[2:]) for r in df.select("g", "i", *[rank.percent_rank_average(F.col(c), ["g"]) for c in "abc"]).collect()}
+    out = rank.percent_ranks(df, ["g"], ["a", "b", "c"])
+    assert {(r.g, r.i): (r.a, r.b, r.c) for r in out.collect()} == want and len(want) == len(rows)
+
+
+def test_large_groups_are_not_sorted_whole(spark, monkeypatch):
+    monkeypatch.setattr(rank, "CUT_ROWS", 100)
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 4001).cast("double").alias("v"), (F.col("id") % 3).cast("double").alias("w"))
+    out = rank.percent_ranks(df, ["g"], ["v", "w"])
+    text = plan(out)
+    # one shuffle, by group and bucket, for v; none for the three values of w
+    assert text.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(g#" in text and ", _g#" in text
+    assert out.agg(F.sum("v")).first()[0] == pytest.approx(2000)
+
+
+def test_quantiles_against_percentile(spark):
+    rng = random.Random(8)
+    qs = [0.0, 0.02, 0.5, 0.9, 0.98, 1.0]
+    for values in ([3.0], [1.0, 2.0], [rng.random() for _ in range(999)], [rng.gauss(0, 1) ** 31 for _ in range(500)] + [None, 1e308, -1e308], [0.5] * 90 + [0.25] * 10, [rng.choice([float("inf"), -float("inf"), 1.0, 2.0]) for _ in range(50)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = rank.quantiles(df, "v", qs).first()[0]
+        order = sorted(v for v in values if v is not None)
+        for q, x in zip(qs, got, strict=True):
+            at = (len(order) - 1) * q
+            a, b = order[math.floor(at)], order[math.ceil(at)]
+            assert x == (a if a == b else pytest.approx(a + (b - a) * (at - math.floor(at)), nan_ok=True))
+    assert rank.quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]).count() == 1
+    assert " percentile(" not in plan(rank.tiers(spark.range(9).withColumn("score", F.col("id") / 9)))
