@@ -96,3 +96,8 @@ def test_quantiles_against_percentile(spark):
             assert x == (a if a == b else pytest.approx(a + (b - a) * (at - math.floor(at)), nan_ok=True))
     assert rank.quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]).count() == 1
     assert " percentile(" not in plan(rank.tiers(spark.range(9).withColumn("score", F.col("id") / 9)))
+
+
+@pytest.mark.parametrize("name", ["g2_tiers", "g3_filtered_tier"])
+def test_tiers_do_not_gather_all_scores(spark, name):
+    assert " percentile(" not in plan(load().QUERIES[name](spark, DATA)).replace("[", " ")
