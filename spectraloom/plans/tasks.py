@@ -179,8 +179,8 @@ def f55b(spark, sf_dir):
 
 @register("g3_filtered_tier", f"WITH s AS ({SCORED}), q AS (SELECT quantile_cont(score, 0.98) AS h FROM s) SELECT l_linenumber, count(*) AS n, round(min(score), 6) AS least FROM s, q WHERE score > h GROUP BY 1")
 def g3(spark, sf_dir):
-    high = tiers(scored(spark, sf_dir)).filter("tier = 'high'")
-    return high.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), ROUND(F.min("score")).alias("least"))
+    high = tiers(scored(spark, sf_dir), weight="n").filter("tier = 'high'")
+    return high.groupBy("l_linenumber").agg(F.sum("n").alias("n"), ROUND(F.min("score")).alias("least"))
 
 
 @register("g9_per_raw_file", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('9:' || event_id::VARCHAR), event_id) AS r FROM events) WHERE r <= 3")

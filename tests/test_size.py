@@ -101,3 +101,44 @@ def test_quantiles_against_percentile(spark):
 @pytest.mark.parametrize("name", ["g2_tiers", "g3_filtered_tier"])
 def test_tiers_do_not_gather_all_scores(spark, name):
     assert " percentile(" not in plan(load().QUERIES[name](spark, DATA)).replace("[", " ")
+
+
+@pytest.mark.parametrize("name", ["g2_tiers", "g3_filtered_tier"])
+def test_scores_are_made_once(spark, name):
+    df = load().QUERIES[name](spark, DATA)
+    df.collect()
+    final = plan(df).partition("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("size", [3, 40, 10**6])
+@pytest.mark.parametrize("copies", [1, 20])
+def test_composite_counts(spark, monkeypatch, size, copies):
+    """Equal rows ranked as one and each by itself, with groups cut, looked up and whole: the ranks of all rows."""
+    monkeypatch.setattr(rank, "CUT_ROWS", size)
+    monkeypatch.setattr(rank, "SLICE", 1)
+    rng = random.Random(9)
+    rows = [(g, rng.choice([None, 1.0, rng.random(), float("nan")]), rng.choice([0.1, 0.2, None]), rng.gauss(0, 1) ** 9) for g, n in ((1, 400), (2, 90), (None, 150), (3, 7), (4, 1)) for i in range(n)]
+    rows += rows[::3]
+    df = spark.createDataFrame(rows * copies, "g int, a double, b double, c double")
+    parts = [F.col("a"), F.col("b"), 1 - F.col("c")]
+    score = sum((rank.percent_rank_average(x, ["g"]) for x in parts), F.lit(0.0)) / 3
+    want = {(r.g, r.s): r["count"] for r in df.select("g", F.round(score, 9).alias("s")).groupBy("g", "s").count().collect()}
+    out = rank.composite_counts(df, ["g"], parts, 9).collect()
+    assert {(r.g, r.score): r.n for r in out} == want and len(out) == len(want) and sum(want.values()) == len(rows) * copies
+
+
+def test_equal_rows_are_ranked_as_one(spark):
+    df = spark.range(6000).select((F.col("id") % 2).alias("g"), (F.col("id") % 300).cast("double").alias("v"))
+    out = rank.composite_counts(df, ["g"], [F.col("v")], 9)
+    text = plan(out)
+    # rows are counted below all windows
+    assert text.rindex("partial_count(1)") > text.rindex("Window ")
+    assert out.count() == 300 and {r.n for r in out.collect()} == {20}
+
+
+def test_quantiles_of_counts(spark):
+    df = spark.createDataFrame([(3.0, 2), (1.0, 1), (3.0, 3), (None, 9), (8.0, 4)], "v double, n long")
+    values = spark.createDataFrame([(v,) for v in [1.0] + [3.0] * 5 + [8.0] * 4], "v double")
+    qs = [0.0, 0.05, 0.5, 0.6, 1.0]
+    assert rank.quantiles(df, "v", qs, weight="n").first()[0] == rank.quantiles(values, "v", qs).first()[0]
