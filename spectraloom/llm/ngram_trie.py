@@ -11,6 +11,7 @@ around its run, and searches for the successor in that run only.
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 
@@ -47,10 +48,17 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)])
-        self.zeros = np.arange(len(high) + 1, dtype=np.int64) * 64 - self.ones
         self._places: dict[bool, np.ndarray] = {}
+        self._selected = {True: 0, False: 0}
+
+    @cached_property
+    def ones(self) -> np.ndarray:
+        """Ones before each word of the high parts."""
+        return np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)])
+
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        return np.arange(len(self.high) + 1, dtype=np.int64) * 64 - self.ones
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -59,12 +67,16 @@ class EliasFano:
         bits = max(0, (universe // max(n, 1)).bit_length() - 1)
         low = np.zeros(-(-n * bits // 64) + 2, U)
         if bits:
-            shifts = np.arange(bits, dtype=U)
             for i in range(0, n, 1 << 16):
                 # whole words: 2 ** 16 values of any number of bits fill them
-                part = ((values[i : i + (1 << 16), None] >> shifts) & U(1)).astype(np.uint8)
-                packed = np.packbits(part.ravel(), bitorder="little")
-                low.view(np.uint8)[i * bits // 8 : i * bits // 8 + len(packed)] = packed
+                part = values[i : i + (1 << 16)] & U((1 << bits) - 1)
+                at = np.arange(i, i + len(part), dtype=np.int64) * bits
+                word, shift = at >> 6, (at & 63).astype(U)
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                low[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+                # only the last number that begins in a word can go on in the next
+                over = np.flatnonzero(shift > U(64 - bits))
+                low[word[over] + 1] |= part[over] >> (U(64) - shift[over])
         place = (values >> U(bits)).astype(np.int64) + np.arange(n)
         size = (universe >> bits) + n + 64
         flags = np.zeros(-(-size // 64) * 64, np.uint8)
@@ -79,8 +91,9 @@ class EliasFano:
         return self._places[one]
 
     def select(self, i: np.ndarray, one: bool) -> np.ndarray:
-        """Where the i-th one or zero of the high parts is; many at once pay for a directory."""
-        if len(i) * 16 > len(self.high) * 64 or one in self._places:
+        """Where the i-th one or zero of the high parts is; many, at once or one after another, pay for a directory."""
+        self._selected[one] += len(i)
+        if self._selected[one] * 16 > len(self.high) * 64 or one in self._places:
             return self._directory(one)[i]
         total = self.ones if one else self.zeros
         word = np.searchsorted(total, i, side="right") - 1
@@ -90,10 +103,18 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self.select(i, True) - i).astype(U) << U(self.low_bits)) | self._low(i)
 
+    @cached_property
+    def _lanes(self) -> np.ndarray:
+        """A view of the low bits that reads eight bytes from any place."""
+        return np.ndarray(max(0, 8 * len(self.low) - 7), "<u8", self.low, strides=(1,))
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), U)
         at = i * self.low_bits
+        if self.low_bits <= 57:
+            # eight bytes from the byte where a number begins hold it
+            return (self._lanes[at >> 3] >> (at & 7).astype(U)) & U((1 << self.low_bits) - 1)
         word, shift = at >> 6, (at & 63).astype(U)
         over = np.where(shift > 0, np.asarray(self.low[word + 1]) << ((U(64) - shift) & U(63)), U(0))
         return ((np.asarray(self.low[word]) >> shift) | over) & U((1 << self.low_bits) - 1)
@@ -106,16 +127,14 @@ class EliasFano:
         if start is not None:
             lo, hi = np.maximum(lo, start), np.minimum(hi, end)
         # between them high parts are equal, so that low bits decide
-        limit, low = hi.copy(), x & U((1 << self.low_bits) - 1)
-        live = np.flatnonzero(lo < hi)
+        low, some = x & U((1 << self.low_bits) - 1), np.flatnonzero(lo < hi)
+        live = some[hi[some] - lo[some] > 1]
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
-            less = self._low(mid) < low[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
-            live = live[lo[live] < hi[live]]
+            more = self._low(mid) > low[live]
+            hi[live[more]], lo[live[~more]] = mid[more], mid[~more]
+            live = live[hi[live] - lo[live] > 1]
         out = np.full(len(x), -1, np.int64)
-        some = np.flatnonzero(lo < limit)
         hit = some[self._low(lo[some]) == low[some]]
         out[hit] = lo[hit]
         return out
@@ -160,7 +179,7 @@ class NgramTrie:
         )
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each ascending key among all, or -1."""
+        """Place of each key among all, or -1. Neighbours of one context share its search."""
         out = np.full(len(keys), -1, np.int64)
         if not len(keys) or not self.contexts.n:
             return out
@@ -177,7 +196,7 @@ class NgramTrie:
         return out
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Code of each ascending key; NONE if it isn't there."""
+        """Code of each key; NONE if it isn't there."""
         at = self.find(keys)
         return np.where(at >= 0, self.codes[at] if len(self.codes) else NONE, NONE).astype(np.int16)
 
@@ -186,7 +205,7 @@ class NgramTrie:
 
     @classmethod
     def view(cls, data: np.ndarray) -> NgramTrie:
-        """Maps the levels onto bytes; nothing is copied, and only counts of set bits are computed beforehand."""
+        """Maps the levels onto bytes; nothing is copied or computed beforehand."""
         if data[:8].tobytes() != cls.MAGIC:
             raise ValueError("not a trie")
         at, levels = 8, []

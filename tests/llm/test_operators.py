@@ -475,6 +475,74 @@ def test_lm_counts_beyond_32_bits():
     assert [np.frombuffer(r.column("data")[0].as_py(), "<i8").tolist() for r in answer] == [[2**34, 0]]
 
 
+def test_lm_shard_is_searched_for_many_requests_at_once(monkeypatch):
+    keys, counts = np.arange(0, 3000, 3).astype(np.uint64) * np.uint64(1 << 17), np.arange(1, 1001)
+    rows = [pa.RecordBatch.from_arrays([pa.array([sid], pa.int64()), pa.array([lm._coded(keys, counts)], pa.binary())], names=["sid", "data"]) for sid in (0, 1)]
+    tries = list(lm._tries(1)(rows))
+    asked = [np.unique(np.concatenate([keys[i::7], keys[i::7] + np.uint64(1)])) for i in range(7)]
+
+    def requests(sid):
+        return pa.RecordBatch.from_arrays([pa.array([sid] * 7, pa.int64()), pa.array(range(7), pa.int64()), pa.array([lm._coded(x) for x in asked], pa.binary()), pa.nulls(7, pa.binary())], names=["sid", "chunk", "data", "counts"])
+
+    met = []
+    for sid, trie in enumerate(tries):
+        met += [pa.RecordBatch.from_arrays([trie.column("sid"), pa.nulls(1, pa.int64()), trie.column("trie"), trie.column("counts")], names=["sid", "chunk", "data", "counts"]), requests(sid)]
+    met.append(requests(2))  # a shard that the model has not
+    searches, plain = [], ngram_trie.NgramTrie.find
+    monkeypatch.setattr(ngram_trie.NgramTrie, "find", lambda self, x: searches.append(len(x)) or plain(self, x))
+    known = dict(zip(keys.tolist(), counts.tolist()))
+    for most, times in ((lm.ASK, 2), (500, 8)):
+        monkeypatch.setattr(lm, "ASK", most)
+        searches.clear()
+        got = [tuple(r.values()) for batch in lm._answer(1)(met) for r in batch.to_pylist()]
+        assert [(c, sid) for c, sid, _ in got] == [(c, sid) for sid in range(3) for c in range(7)]
+        for c, sid, data in got:
+            want = [known.get(x, 0) if sid < 2 else 0 for x in asked[c].tolist()]
+            if sid:
+                want = [int(ngram_trie.quantise(np.log10(np.array([x])))[0]) if x else ngram_trie.NONE for x in want]
+            assert np.frombuffer(data, "<i2" if sid else "<i8").tolist() == want
+        assert len(searches) == times
+
+
+def test_elias_fano_of_any_width_and_small_searches(monkeypatch):
+    rng = np.random.default_rng(7)
+    for n, width in ((70_000, 30), (70_000, 40), (900, 63), (40, 62), (3, 63), (1, 63), (1, 40), (5, 3), (0, 40)):
+        values = np.unique(rng.integers(0, 1 << width, n).astype(np.uint64))
+        sequence = ngram_trie.EliasFano.build(values, 1 << width)
+        bits = "".join(f"{int(v) % (1 << sequence.low_bits):0{sequence.low_bits}b}"[::-1] for v in values) if sequence.low_bits else ""
+        assert "".join(f"{int(w):064b}"[::-1] for w in sequence.low).rstrip("0") == bits.rstrip("0")
+        assert sequence.all().tolist() == values.tolist()
+        assert sequence.find(values[::-1]).tolist() == list(range(len(values)))[::-1]
+    # searches of a few numbers, one after another, come to use the directory that one of many uses
+    values = np.unique(rng.integers(0, 1 << 40, 20_000).astype(np.uint64))
+    sequence, slow, plain = ngram_trie.EliasFano.build(values, 1 << 40), [], ngram_trie._select_in_word
+    monkeypatch.setattr(ngram_trie, "_select_in_word", lambda word, rank: slow.append(len(word)) or plain(word, rank))
+    for i in range(400):
+        assert sequence.find(values[i::400]).tolist() == list(range(i, len(values), 400))
+    assert sum(slow) < len(sequence.high) * 64 // 16
+
+
+def test_lm_chunks_are_shipped_without_words(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["Ab c", None, "", "ü", "x " * 9]), pa.array([False] * 5)], names=["doc_id", "text", "held_out"])
+    asked = {x for r in lm._ask(1, 6)([batch.slice(1)]) for x in r.column("chunk").to_pylist()}
+    monkeypatch.setattr(lm, "token_hashes", lambda *_: pytest.fail("words are not needed"))
+    shipped = [r for x in lm._ship(None, 6)([batch.slice(1)]) for r in x.to_pylist()]
+    assert {r["chunk"] for r in shipped} == asked and len(asked) == 2
+    texts = []
+    for r in shipped:
+        raw, at = lm._shipped(pa.py_buffer(r["data"]))
+        texts += zip(r["ids"], [raw[a:b].tobytes().decode() for a, b in zip(at, at[1:])])
+    assert texts == [(2, ""), (3, ""), (4, "ü"), (5, "x " * 9)]
+
+
+def test_lm_order_of_places():
+    rng = np.random.default_rng(8)
+    for place in (rng.integers(0, 1 << 60, 3000), (rng.integers(0, 1 << 50, 30)[:, None] << 10 | rng.integers(0, 4, (30, 90))).ravel(), np.zeros(5, np.int64), np.array([9])):
+        place = rng.permutation(place).astype(np.uint64)
+        order = lm._order(place)
+        assert sorted(order.tolist()) == list(range(len(place))) and place[order].tolist() == sorted(place.tolist())
+
+
 def test_words_and_shingles():
     data, offsets = np.frombuffer("Ab c\tDAB".encode(), np.uint8), np.array([0, 6, 8])
     starts, ends, row, text = words.words(data, offsets)
